@@ -4,9 +4,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import tokens
+from . import mixing, tokens, warc
 
-_MODULES = (tokens,)
+_MODULES = (tokens, warc, mixing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -75,7 +75,7 @@ class AtomicFile:
         self.fs, self.path = open_fs(uri)
         self.fs.create_dir(os.path.dirname(self.path), recursive=True)
         self.temp = f"{os.path.dirname(self.path)}/_temp-{uuid.uuid4().hex}"
-        self.out = self.fs.open_output_stream(self.temp)
+        self.out = self.fs.open_output_stream(self.temp, compression=None)
 
     def commit(self) -> None:
         self.out.close()

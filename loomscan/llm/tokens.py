@@ -159,7 +159,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: follows something else, and what comes after is split without a look back: such units can be encoded one by one.
 _UNIT = re.compile(r"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+\Z")
 #: White space for which the libraries may differ; texts that have it are encoded whole.
-_ODD = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‍    ⁠　﻿]")
+_ODD = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 
 
 def id_encoder(tokenizer: str):
