@@ -4,9 +4,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lines, mixing, tokens, urls, warc
+from . import lines, mixing, quality, tokens, urls, warc
 
-_MODULES = (tokens, warc, urls, mixing, lines)
+_MODULES = (quality, tokens, warc, urls, mixing, lines)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
