@@ -188,7 +188,7 @@ def id_encoder(tokenizer: str):
 
 
 class StreamFile:
-    """Writes ids to an Arrow file of fixed-size lists: seq_len ids and seq_len mask bytes a row.
+    """Writes ids to an Arrow file of fixed-size lists: seq_len ids and seq_len mask bits a row.
 
     The last row is padded with `pad`, its mask is 0 there. The file format has a footer, so any batch, and in it any
     sequence, can be mapped and read without a copy. A second file `.docs.arrow` has id, offset and n_tokens of each
@@ -199,7 +199,7 @@ class StreamFile:
         self.kind = pa.uint32() if wide else pa.uint16()
         self.dtype, self.seq_len, self.pad, self.batch_rows = ("<u4" if wide else "<u2"), seq_len, pad, batch_rows
         self.files = [AtomicFile(uri), AtomicFile(f"{uri}.docs.arrow")]
-        self.schema = pa.schema([("ids", pa.list_(self.kind, seq_len)), ("mask", pa.list_(pa.uint8(), seq_len))], {"seq_len": str(seq_len)})
+        self.schema = pa.schema([("ids", pa.list_(self.kind, seq_len)), ("mask", pa.list_(pa.bool_(), seq_len))], {"seq_len": str(seq_len)})
         self.docs_schema = pa.schema([("id", pa.int64()), ("offset", pa.int64()), ("n_tokens", pa.int64())])
         self.writer = pa.ipc.new_file(self.files[0].out, self.schema)
         self.docs_writer = pa.ipc.new_file(self.files[1].out, self.docs_schema)
@@ -220,14 +220,14 @@ class StreamFile:
         rows = -(-len(ids) // self.seq_len) if last else len(ids) // self.seq_len
         size = rows * self.seq_len
         self.held = [] if last else [ids[size:]]
-        mask = np.ones(size, np.uint8)
+        mask = np.ones(size, bool)
         if size > len(ids):
-            mask[len(ids) :] = 0
+            mask[len(ids) :] = False
             ids = np.concatenate([ids, np.full(size - len(ids), self.pad, self.dtype)])
         self.n_held = 0 if last else len(self.held[0])
         for k in range(0, rows, self.batch_rows):
             a, b = k * self.seq_len, min(rows, k + self.batch_rows) * self.seq_len
-            self.writer.write_batch(pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(x[a:b], t), self.seq_len) for x, t in ((ids, self.kind), (mask, pa.uint8()))], schema=self.schema))
+            self.writer.write_batch(pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(x[a:b], t), self.seq_len) for x, t in ((ids, self.kind), (mask, pa.bool_()))], schema=self.schema))
         if self.docs[0]:
             self.docs_writer.write_batch(pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in self.docs], schema=self.docs_schema))
             self.docs = ([], [], [])
@@ -241,19 +241,19 @@ class StreamFile:
 
 
 def read_sequences(uri: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, mask) of each batch of a stream file, as flat arrays; views where the store can be mapped."""
+    """(ids, mask) of each batch of a stream file, as flat arrays; ids without a copy where the store can be mapped."""
     fs, path = open_fs(uri)
     with fs.open_input_file(path) as f:
         reader = pa.ipc.open_file(f)
         for k in range(reader.num_record_batches):
             b = reader.get_batch(k)
-            yield b.column(0).flatten().to_numpy(), b.column(1).flatten().to_numpy()
+            yield b.column(0).flatten().to_numpy(), b.column(1).flatten().to_numpy(zero_copy_only=False)
 
 
 def read_documents(uri: str) -> Iterator[tuple[int | None, int, int, int]]:
     """(id, offset in the file's stream, n_tokens, crc32 of the ids) of each document, from the file's sequences."""
     fs, path = open_fs(f"{uri}.docs.arrow")
-    ids = (x[m.astype(bool)].astype("<u4") for x, m in read_sequences(uri))
+    ids = (x[m].astype("<u4") for x, m in read_sequences(uri))
     now, at = np.empty(0, "<u4"), 0
     with fs.open_input_file(path) as f:
         reader = pa.ipc.open_file(f)
