@@ -21,7 +21,7 @@ LONG_UNIT = 64  # longer units aren't cached
 
 _tokenizers: dict[str, object] = {}
 _counts: dict[str, dict[bytes, int]] = {}
-_ids: dict[str, dict[str, bytes]] = {}
+_ids: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {}
 
 
 def load_tokenizer(name: str):
@@ -155,33 +155,39 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- operator 9: token-ID stream files ---------------------------------------------------------------------------
 
-#: A run of white space and the word behind it. With the byte-level pattern, a pre-token always ends where white space
-#: follows something else, and what comes after is split without a look back: such units can be encoded one by one.
-_UNIT = re.compile(r"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+\Z")
+#: Blanks with the letters behind them, else blanks with all up to the next blank. With the byte-level pattern a pre-token
+#: ends where letters end, if no other letter or digit follows, and where white space follows something else; what comes
+#: after is split without a look back. So such units can be encoded one by one.
+_UNIT = re.compile(r"[ \t\n\r\x0b\x0c]*[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+(?!\w)|[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+\Z")
 #: White space for which the libraries may differ; texts that have it are encoded whole.
 _ODD = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 
 
 def id_encoder(tokenizer: str):
     """A function from texts to their ids as little-endian unsigned 32-bit bytes, units cached per worker."""
-    tok, cache = load_tokenizer(tokenizer), _ids.setdefault(tokenizer, {})
+    tok = load_tokenizer(tokenizer)
+    young, old = _ids.setdefault(tokenizer, ({}, {}))
 
     def pack(e) -> bytes:
         return np.asarray(e.ids, "<u4").tobytes()
 
     def encode(texts: list[str]) -> list[bytes]:
-        if len(cache) > CACHE:
-            cache.clear()
         units = [None if _ODD.search(t) else _UNIT.findall(t) for t in texts]
-        missing = list({u for us in units if us for u in us if u not in cache})
+        missing = {u for us in units if us for u in us} - young.keys()
+        young.update((u, old[u]) for u in missing & old.keys())  # what is in use grows no old
+        missing = list(missing - old.keys())
         for k in range(0, len(missing), 4096):
             some = missing[k : k + 4096]
             for u, e in zip(some, tok.encode_batch_fast(some, add_special_tokens=False)):
-                cache[u] = pack(e)
-        out = [pack(tok.encode(t, add_special_tokens=False)) if us is None else b"".join(map(cache.__getitem__, us)) for t, us in zip(texts, units)]
+                young[u] = pack(e)
+        out = [pack(tok.encode(t, add_special_tokens=False)) if us is None else b"".join(map(young.__getitem__, us)) for t, us in zip(texts, units)]
         for u in missing:
             if len(u) > LONG_UNIT:
-                del cache[u]
+                del young[u]
+        if len(young) > CACHE:
+            old.clear()
+            old.update(young)
+            young.clear()
         return out
 
     return encode
