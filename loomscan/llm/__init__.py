@@ -4,9 +4,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lines, mixing, neardup, quality, tokens, urls, warc
+from . import decontaminate, lines, mixing, neardup, quality, secretscan, tokens, urls, warc
 
-_MODULES = (quality, tokens, neardup, warc, urls, mixing, lines)
+_MODULES = (quality, tokens, neardup, warc, secretscan, urls, mixing, decontaminate, lines)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
