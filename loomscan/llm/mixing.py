@@ -102,10 +102,10 @@ def repeat_mixed(docs: DataFrame, **options) -> DataFrame:
     Rows that are equal in id, source and size are taken alike (the most copies of any of them).
     """
     mixed = fair_queue_mix(docs, **options).filter("copies > 0").groupBy("doc_id", "source_name", "size").agg(F.max("copies").alias("copies"))
-    mixed = materialize(mixed.select(*[F.col(c).alias(f"mix_{k}") for k, c in enumerate(mixed.columns)]), "mix")
+    mixed = materialize(mixed.select(*[F.col(c).alias(f"_loomscan_{k}") for k, c in enumerate(mixed.columns)]), "mix")
     mixed = F.broadcast(mixed) if small_enough(mixed, BROADCAST_ROWS) else mixed
-    match = F.col("doc_id").cast("long").eqNullSafe(F.col("mix_0")) & F.col("source").eqNullSafe(F.col("mix_1")) & (word_count(F.col("text")) == F.col("mix_2"))
-    joined = docs.join(mixed, match).withColumn("mix_4", F.explode(F.sequence(F.lit(1), F.col("mix_3"))))
+    match = F.col("doc_id").cast("long").eqNullSafe(F.col("_loomscan_0")) & F.col("source").eqNullSafe(F.col("_loomscan_1")) & (word_count(F.col("text")) == F.col("_loomscan_2"))
+    joined = docs.join(mixed, match).withColumn("_loomscan_4", F.explode(F.sequence(F.lit(1), F.col("_loomscan_3"))))
     return joined.select(*docs.columns)
 
 

@@ -224,9 +224,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """One document of each group of near copies, with the columns of docs."""
-    kept = near_duplicates(docs, **options).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    kept = near_duplicates(docs, **options).filter("kept").select(F.col("doc_id").alias("_loomscan_kept")).distinct()
     kept = _bounded(materialize(kept, "near-kept"))
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
+    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_loomscan_kept")), "left_semi")
 
 
 def op3_minhash_bbit(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -158,10 +158,10 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that judge_quality keeps, with their columns; equal ids share a verdict (kept if any is)."""
-    kept = judge_quality(docs).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    kept = judge_quality(docs).filter("kept").select(F.col("doc_id").alias("_loomscan_kept")).distinct()
     kept = materialize(kept, "quality-kept")
     kept = F.broadcast(kept) if small_enough(kept, 1_000_000) else kept
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
+    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_loomscan_kept")), "left_semi")
 
 
 def op1_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
