@@ -13,9 +13,12 @@ ANY = "<*>"
 
 
 def masked(line: Column) -> Column:
-    """Tokens of a line with one space between them; a token that has a digit is a variable field, <*>."""
-    plain = F.trim(F.regexp_replace(line, f"{SPACE}+", " "))
-    return F.regexp_replace(plain, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", ANY)
+    """Tokens of a line with one space between them; a token that has a digit is a variable field, <*>.
+
+    Most lines need neither replacement, and finding that out costs little.
+    """
+    plain = F.when(line.rlike(r"[\t\x0B\f\r]|  |^ | $"), F.trim(F.regexp_replace(line, f"{SPACE}+", " "))).otherwise(line)
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(plain, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", ANY)).otherwise(plain)
 
 
 def _bounded(df: DataFrame) -> DataFrame:
@@ -30,35 +33,36 @@ def template_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     `share` of the leaf's (document, line) counts have there (ties: the smaller one), and a variable elsewhere. A line
     takes the leaf's template if it has the template's token at `similarity` of its places, else its masked self.
     Lines whose template at least min_docs documents have are returned; those of fewer than min_tokens tokens never.
+    Leaves, lines and templates are told apart by 64-bit hashes.
 
     Equal masked lines are counted before their tokens are, so a line that very many documents share is one row then.
     """
     text = F.col(text_col)
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), F.posexplode(F.split(text, "\n")).alias("line", "raw"))
-    rows = rows.select("id", "text_hash", "line", masked(F.col("raw")).alias("m"))
+    # masked inside the array, before the rows are made: conditions on m can't move below and compute it again
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), F.posexplode(F.transform(F.split(text, "\n"), masked)).alias("line", "m"))
     rows = rows.withColumn("n", F.length("m") - F.length(F.replace(F.col("m"), F.lit(" "), F.lit(""))) + 1).filter(F.col("n") >= min_tokens)
-    rows = rows.withColumn("leaf", F.concat_ws(" ", F.col("n"), F.substring_index("m", " ", depth)))
+    rows = rows.select("id", "text_hash", "line", "m", F.xxhash64("n", F.substring_index("m", " ", depth)).alias("leaf"), F.xxhash64("m").alias("k"))
     who = F.coalesce(F.col("id").cast("string"), F.lit("null"))
     leaves = rows.groupBy("leaf").agg(F.count_distinct(who).alias("docs")).filter(F.col("docs") >= min_docs).select(F.col("leaf").alias("l"))
     leaves = _bounded(materialize(leaves, "line-leaves"))
-    near = materialize(rows.join(leaves, F.col("leaf") == F.col("l")).select("id", "text_hash", "line", "leaf", "m"), "line-near")
-    lines = materialize(near.groupBy("leaf", "m").agg(F.count_distinct(who).alias("docs")), "line-masked")
+    near = materialize(rows.join(leaves, F.col("leaf") == F.col("l")).select("id", "text_hash", "line", "leaf", "k", "m"), "line-near")
+    lines = materialize(near.groupBy("leaf", "k").agg(F.count_distinct(who).alias("docs"), F.min("m").alias("m")), "line-masked")
     tokens = lines.select("leaf", "docs", F.posexplode(F.split("m", " ")).alias("place", "token")).groupBy("leaf", "place", "token").agg(F.sum("docs").alias("docs"))
     places = tokens.groupBy("leaf", "place").agg(F.sum("docs").alias("all"), F.min(F.struct((-F.col("docs")).alias("docs"), "token")).alias("top"))
     places = places.withColumn("token", F.when(-F.col("top.docs") >= share * F.col("all"), F.col("top.token")).otherwise(ANY))
+    # A leaf has one row for each place and its lines are equally long, so the list is bounded by a line.
     shapes = places.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("place", "token"))).alias("shape"))
     shapes = shapes.select(F.col("leaf").alias("l"), F.transform("shape", lambda x: x["token"]).alias("shape"))
-    shapes = _bounded(materialize(shapes, "line-shapes"))
-    # A leaf has one row for each place and its text is one line's, so the list is bounded by a line.
     own = F.split("m", " ")
     hits = F.size(F.filter(F.arrays_zip(own.alias("a"), F.col("shape").alias("b")), lambda x: x["a"] == x["b"]))
     fits = hits >= similarity * F.size(own)
-    named = lines.join(shapes, F.col("leaf") == F.col("l")).select("leaf", "m", F.when(fits, F.array_join("shape", " ")).otherwise(F.col("m")).alias("template"))
-    named = _bounded(materialize(named.toDF("l", "k", "template"), "line-named"))
-    found = near.join(named, (F.col("leaf") == F.col("l")) & (F.col("m") == F.col("k"))).select("id", "text_hash", "line", "leaf", "template")
-    often = found.groupBy("leaf", "template").agg(F.count_distinct(who).alias("n_docs")).filter(F.col("n_docs") >= min_docs)
-    often = _bounded(materialize(often.toDF("l", "t", "n_docs"), "line-often"))
-    return found.join(often, (F.col("leaf") == F.col("l")) & (F.col("template") == F.col("t"))).select("id", "text_hash", "line", "template", "n_docs")
+    named = lines.join(shapes, F.col("leaf") == F.col("l")).select(F.col("leaf").alias("l"), F.col("k").alias("line_k"), F.when(fits, F.array_join("shape", " ")).otherwise(F.col("m")).alias("template"))
+    named = materialize(named.withColumn("t", F.xxhash64("template")), "line-named")
+    found = near.select("id", "text_hash", "line", "leaf", "k").join(_bounded(named.select("l", "line_k", "t")), (F.col("leaf") == F.col("l")) & (F.col("k") == F.col("line_k"))).select("id", "text_hash", "line", "leaf", "k", "t")
+    often = found.groupBy("leaf", "t").agg(F.count_distinct(who).alias("n_docs")).filter(F.col("n_docs") >= min_docs)
+    often = named.join(often.toDF("often_l", "often_t", "n_docs"), (F.col("l") == F.col("often_l")) & (F.col("t") == F.col("often_t")))
+    often = materialize(often.select("l", "line_k", "template", "n_docs"), "line-often")
+    return near.select("id", "text_hash", "line", "leaf", "k").join(often, (F.col("leaf") == F.col("l")) & (F.col("k") == F.col("line_k"))).select("id", "text_hash", "line", "template", "n_docs")
 
 
 def drop_template_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
