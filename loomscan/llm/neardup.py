@@ -207,13 +207,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     info = info.filter(100 * F.col("core") >= percent * F.col("n"))  # others are similar to none
     info = _bounded(materialize(info, "near-info"))
     major = open_.groupBy("bucket", "component").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.max_by("component", F.struct("c", "component")).alias("major"))
-    open_ = materialize(open_.join(info, "rep").join(major, "bucket"), "near-open")
-    a = open_.filter("component <> major").select("bucket", *[F.col(c).alias(f"{c}_a") for c in ("rep", "component", "n", "core", "sig")])
-    b = open_.select("bucket", F.col("component") == F.col("major"), *[F.col(c).alias(f"{c}_b") for c in ("rep", "component", "n", "core", "sig")]).toDF("bucket", "in_major", "rep_b", "component_b", "n_b", "core_b", "sig_b")
-    able = ((100 + percent) * F.least("core_a", "core_b") >= percent * (F.col("n_a") + F.col("n_b"))) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    open_ = open_.join(info, "rep").join(major, "bucket").join(reps.select("rep", "bands"), "rep").join(sets, "rep")
+    open_ = materialize(open_, "near-open")
+    own = ("rep", "component", "n", "core", "sig", "bands", "hashes")
+    a = open_.filter("component <> major").select("bucket", *[F.col(c).alias(f"{c}_a") for c in own])
+    b = open_.select("bucket", (F.col("component") == F.col("major")).alias("in_major"), *[F.col(c).alias(f"{c}_b") for c in own])
+    sizes = F.col("n_a") + F.col("n_b")
     once = (F.col("component_a") != F.col("component_b")) & (F.col("in_major") | (F.col("rep_a") < F.col("rep_b")))
-    third = a.join(b, (a["bucket"] == b["bucket"]) & once & able & (_matches(F.col("sig_a"), F.col("sig_b")) >= least)).select(F.col("rep_a").alias("x"), F.col("rep_b").alias("y")).distinct()
-    links = links.union(materialize(_confirmed(third, sets, percent), "near-links"))
+    able = ((100 + percent) * F.least("core_a", "core_b") >= percent * sizes) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    here = F.get(F.array_intersect("bands_a", "bands_b"), F.lit(0)) == a["bucket"]  # of several shared buckets, the first
+    linked = (100 + percent) * F.size(F.array_intersect("hashes_a", "hashes_b")) >= percent * sizes
+    # All of it is the join's condition, so that only links become rows, not what is compared.
+    third = a.join(b, (a["bucket"] == b["bucket"]) & once & able & (_matches(F.col("sig_a"), F.col("sig_b")) >= least) & here & linked)
+    links = links.union(materialize(third.select(F.col("rep_a").alias("x"), F.col("rep_b").alias("y")), "near-links"))
     found = materialize(components(links, "x", "y"), "near-found")
 
     named = classes.join(found, F.col("rep") == F.col("node"), "left").select(F.col("set_key").alias("k"), F.coalesce("component", "rep").alias("component"))
