@@ -14,6 +14,7 @@ from .operators import metrics as M
 from .operators import report as R
 from .operators import store
 from .operators.limit import MODES, Limit, all_warnings
+from .operators.suppress import MARK
 from .plans.views import view
 from .sinks import render
 from .sources.files import PATTERNS, read_tree
@@ -52,6 +53,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--std.code.longlines.limit", dest="std.code.longlines.limit", type=int, default=80)
     p.add_argument("--std.code.magic.numbers.simplier", dest="std.code.magic.numbers.simplier", action="store_true")
     p.add_argument("--std.code.todo.tags", dest="std.code.todo.tags", default=",".join(M.TODO_TAGS))
+    p.add_argument("--std.suppress.mark", dest="std.suppress.mark", default=MARK)
     for lang, globs in PATTERNS.items():
         p.add_argument(f"--std.code.{lang}.files", dest=f"std.code.{lang}.files", default=globs)
     for name in ("include-files", "exclude-files", "exclude-directories"):
@@ -92,7 +94,7 @@ def _collect(spark: SparkSession, o: dict, fail) -> int:
         some = read_tree(spark, path, not o["non_recursively"], o["include_files"], o["exclude_files"], o["exclude_directories"], patterns)
         files = some if files is None else files.unionByName(some).dropDuplicates(["path"])
     prev = store.read(spark, o["db_file_prev"]) if o["db_file_prev"] else None
-    store.write(store.collect(files, specs, prev, {"written": time.strftime("%Y-%m-%d %H:%M:%S")}), o["db_file"])
+    store.write(store.collect(files, specs, prev, {"written": time.strftime("%Y-%m-%d %H:%M:%S")}, o["std.suppress.mark"]), o["db_file"])
     return 0
 
 

@@ -12,7 +12,7 @@ from ..schema import Field, Snapshot
 from .match import file_classes
 from .metrics import REGISTRY, MetricSpec, builtin, fields_of, measure
 from .spans import tokenize
-from .suppress import suppressions
+from .suppress import MARK, suppressions
 
 
 def config_key(specs: list[MetricSpec]) -> str:
@@ -27,7 +27,7 @@ def reuse(files: DataFrame, prev_files: DataFrame) -> tuple[DataFrame, DataFrame
     return files.join(status.filter("status in ('new', 'modified')").select("path"), "path", "left_semi"), status.filter("status = 'unchanged'").select("path")
 
 
-def collect(files: DataFrame, specs: list[MetricSpec] | None = None, prev: Snapshot | None = None, properties: dict[str, str] | None = None) -> Snapshot:
+def collect(files: DataFrame, specs: list[MetricSpec] | None = None, prev: Snapshot | None = None, properties: dict[str, str] | None = None, mark: str = MARK) -> Snapshot:
     """A snapshot of files (path, lang, text, checksum): regions, metrics and suppressions.
 
     With a previous snapshot of the same configuration, only new and modified files are tokenized; rows of unchanged
@@ -35,12 +35,12 @@ def collect(files: DataFrame, specs: list[MetricSpec] | None = None, prev: Snaps
     """
     specs = specs if specs is not None else [*builtin(), *REGISTRY.values()]
     fields = fields_of(specs)
-    key = config_key(specs)
+    key = hashlib.sha256(f"{config_key(specs)} {mark}".encode()).hexdigest()
     old = prev if prev is not None and prev.properties.get("config") == key else None
     todo, same = reuse(files, old.files) if old else (files, None)
     tokens = tokenize(todo)
     regions, facts = measure(tokens, specs)
-    muted, _ = suppressions(tokens, fields)
+    muted, _ = suppressions(tokens, fields, mark)
     if old:
         regions = regions.unionByName(old.regions.join(same, "path", "left_semi"))
         facts = facts.unionByName(old.files.join(same, "path", "left_semi"))

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import SPAN_KINDS, Field
 
+MARK = "loomscan:"
+
 
-def suppressions(tokens: DataFrame, fields: list[Field], mark: str = r"metrix[+]{2}[:]") -> tuple[DataFrame, DataFrame]:
+def suppressions(tokens: DataFrame, fields: list[Field], mark: str = MARK) -> tuple[DataFrame, DataFrame]:
     """(suppressed, rejected) of the tokenizer's rows.
 
-    Only the first block of comments of a region counts: comments with nothing but white space between. suppressed has
+    mark is the text before "suppress"; sources that were annotated for another tool name that tool's here. Only the first block of comments of a region counts: comments with nothing but white space between. suppressed has
     path, region_id (null: the file's), count, metrics in order of appearance. Metrics of files may be suppressed in
     the outermost region only. rejected has path, region_id, metric, reason: unknown, misplaced or duplicate.
     """
@@ -28,7 +32,7 @@ def suppressions(tokens: DataFrame, fields: list[Field], mark: str = r"metrix[+]
         return F.struct(text.alias("text"), state.cast("int").alias("state"))
 
     head = F.when(F.size(comments) > 0, F.aggregate("spans", zero, step)["text"]).otherwise("")
-    found = F.regexp_extract_all(head, F.lit(mark + r"[ \t]+suppress[ \t]+([^ \t\r\n*]+)"), F.lit(1))
+    found = F.regexp_extract_all(head, F.lit(re.escape(mark) + r"[ \t]+suppress[ \t]+([^ \t\r\n*]+)"), F.lit(1))
     rows = tokens.filter("region_id is not null").select("path", "region_id", F.posexplode(found).alias("at", "metric"))
     known = spark.createDataFrame([(f.column, f.regions) for f in fields], "metric string, of_regions boolean")
     rows = rows.join(F.broadcast(known), "metric", "left")  # a row a declared metric

@@ -262,7 +262,7 @@ def dir_subdirs(spark, sf_dir):
     return R.directory_content(files_of(spark, sf_dir, True), "./")
 
 
-@query("SELECT DISTINCT CASE WHEN contains(substr(path, 10), '/') THEN 'dir' ELSE 'file' END AS kind, split_part(path, '/', 4) AS name FROM cf WHERE starts_with(path, './en/src0/')")
+@query("SELECT DISTINCT CASE WHEN contains(substr(path, 11), '/') THEN 'dir' ELSE 'file' END AS kind, split_part(path, '/', 4) AS name FROM cf WHERE starts_with(path, './en/src0/')")
 def dir_subfiles(spark, sf_dir):
     return R.directory_content(files_of(spark, sf_dir), "./en/src0")
 
@@ -328,7 +328,8 @@ def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SPANS = "WITH s AS (SELECT DISTINCT l_orderkey, l_linenumber AS \"begin\", l_linenumber + 1 AS \"end\", CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 4 END AS kind FROM lineitem WHERE l_quantity > 10)"
 
 
-@query(_SPANS + """, f AS (SELECT *, CASE WHEN lag("end") OVER w = "begin" THEN 0 ELSE 1 END AS fresh FROM s WINDOW w AS (PARTITION BY l_orderkey ORDER BY "begin", "end")),
+@query(_SPANS + """, g AS (SELECT l_orderkey, "begin", "end", bit_or(kind) AS kind FROM s GROUP BY ALL),
+f AS (SELECT *, CASE WHEN lag("end") OVER w = "begin" THEN 0 ELSE 1 END AS fresh FROM g WINDOW w AS (PARTITION BY l_orderkey ORDER BY "begin", "end")),
 i AS (SELECT *, sum(fresh) OVER (PARTITION BY l_orderkey ORDER BY "begin", "end" ROWS UNBOUNDED PRECEDING) AS island FROM f)
 SELECT l_orderkey, min("begin") AS "begin", max("end") AS "end", bit_or(kind) AS kind FROM i GROUP BY l_orderkey, island""", base=False)
 def span_merge(spark, sf_dir):
