@@ -1,4 +1,4 @@
-"""Sends this package to Python workers."""
+"""Sends this package to Python workers and bounds what they get at once."""
 
 from __future__ import annotations
 
@@ -9,8 +9,17 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so that their Python workers can import it."""
+    """Send this package to the executors once per application, so that their Python workers can import it.
+
+    Arrow batches are bounded by bytes too, unless the session has a bound of its own: ten thousand long texts at once
+    would take hundreds of MB of an executor, in the JVM and in each worker.
+    """
+    if BATCH_BYTES not in spark.conf.getAll:
+        spark.conf.set(BATCH_BYTES, str(4 << 20))
     sc = spark.sparkContext
     if getattr(sc, "_loomscan_shipped", False):
         return
