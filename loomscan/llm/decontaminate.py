@@ -14,7 +14,7 @@ from .common import ship, table
 
 Q = 12
 EDITS = 0.05  # edit budget as a share of an item's length
-PIECE = 1_000_000  # characters of texts searched at once
+PIECE = 250_000  # characters of texts searched at once, more where items are longer
 BLOCK_CHARS = 4_000_000  # of benchmark items a pass holds
 TABLE_BITS = 22
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -93,20 +93,20 @@ class Index:
 
     def search(self, texts: list[str]) -> Iterator[tuple[int, int, int, int, int]]:
         """(text, item, start, end, edits) of each region that aligns within an item's edit budget."""
-        held, size = [], 0
+        held, size, most = [], 0, max(PIECE, 4 * self.reach)
         for k, t in enumerate(texts):
             low = normal(t)
             at = 0
             while True:  # long texts in pieces that overlap by more than a match can span
-                piece = low[at : at + PIECE]
+                piece = low[at : at + most]
                 held.append((k, at, piece))
                 size += len(piece)
-                if size >= PIECE:
+                if size >= most:
                     yield from self._search(held)
                     held, size = [], 0
-                if at + PIECE >= len(low):
+                if at + most >= len(low):
                     break
-                at += PIECE - self.reach
+                at += most - self.reach
         yield from self._search(held)
 
     def _search(self, pieces: list[tuple[int, int, str]]) -> Iterator[tuple[int, int, int, int, int]]:

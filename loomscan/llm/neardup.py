@@ -18,6 +18,7 @@ PER_LONG = 64 // BITS
 MISS = 1e-7  # chance that a pair right at the threshold shares no band
 SIGMAS = 6  # of the estimate, by which a candidate may fall short before its sets are compared
 SLICE = 256
+CACHE = 200_000  # words whose hashes a worker keeps
 BROADCAST_ROWS = 1_000_000
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
@@ -45,7 +46,7 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     words = (text or "").encode().lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    if len(_hashes) > 500_000:
+    if len(_hashes) > CACHE:
         _hashes.clear()
     h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
     n = max(1, len(h) - width + 1)
