@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -23,12 +24,12 @@ def scratch(spark: SparkSession, name: str) -> str:
 
     Where that setting is missing, a local session gets a temporary folder of its own; a cluster is refused.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_loomscan_scratch", None)
     if not base:
-        if not (spark.sparkContext.master or "").startswith("local"):
+        if not re.match(r"local($|\[)", sc.master or ""):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="loomscan-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = sc._loomscan_scratch = "file://" + tempfile.mkdtemp(prefix="loomscan-")
     return f"{base.rstrip('/')}/loomscan/{name}-{uuid.uuid4().hex}"
 
 

@@ -110,18 +110,24 @@ def test_nothing_else_imports_llm():
     import subprocess
     import sys
 
-    code = "import pkgutil, importlib, sys, loomscan; [importlib.import_module(m.name) for m in pkgutil.walk_packages(loomscan.__path__, 'loomscan.') if '.llm' not in m.name]; assert not any('loomscan.llm' in m for m in sys.modules)"
+    code = "import importlib, pathlib, sys; ps = [p for p in pathlib.Path('loomscan').rglob('*.py') if 'llm' not in p.parts]; [importlib.import_module('.'.join(p.with_suffix('').parts)) for p in ps]; assert not any('loomscan.llm' in m for m in sys.modules)"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=ROOT)
 
 
-def test_scratch_follows_the_session(spark, tmp_path):
+def test_scratch_follows_the_session():
+    from types import SimpleNamespace as Fake
+
     from loomscan.llm.common import scratch
 
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}/shared")
-    try:
-        assert scratch(spark, "x").startswith(f"file://{tmp_path}/shared/loomscan/x-")
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+    def session(master, folder):
+        return Fake(conf=Fake(get=lambda key, default: folder), sparkContext=Fake(master=master, getConf=dict))
+
+    assert scratch(session("spark://x:7077", "hdfs://shared"), "x").startswith("hdfs://shared/loomscan/x-")
+    local = session("local[4]", None)
+    assert scratch(local, "x").rsplit("/", 1)[0] == scratch(local, "y").rsplit("/", 1)[0]
+    for master in ("spark://x:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            scratch(session(master, None), "x")
 
 
 def test_repeated_documents_are_mixed_alike(make_docs):

@@ -74,7 +74,7 @@ def test_counts_of_a_text():
     n, chars, symbols, dups, repeats, classes, common = measure("The cat # sat.\nthe cat\n\nthe cat\n a b c d e f a b c d e")
     assert (n, symbols, dups, repeats) == (19, 1, 1, 10)
     assert chars == sum(len(w) for w in "The cat # sat. the cat the cat a b c d e f a b c d e".split())
-    assert sum(common) == n and sum(classes) == 55
+    assert sum(common) == n and sum(classes) == len("The cat # sat.\nthe cat\n\nthe cat\n a b c d e f a b c d e")
 
 
 # --- operator 7 --------------------------------------------------------------------------------------------------
@@ -163,11 +163,11 @@ def test_archives(spark, tmp_path):
     left, records = data[8 + size :], []
     while left:
         frame = d.decompressobj()
-        records.append(parse(frame.decompress(left)))
+        records.append(frame.decompress(left))
         left = frame.unused_data
-    assert len(records) == 81 and records[0][0]["WARC-Type"] == "warcinfo"
+    assert len(records) == 81 and parse(records[0])[0]["WARC-Type"] == "warcinfo"
     plain = zstandard.ZstdCompressor(level=3)
-    assert len(data) < size + 0.5 * sum(len(plain.compress(h.encode())) for h in html)
+    assert len(data) - size < 0.5 * sum(len(plain.compress(r)) for r in records)
     back = {r["page_id"]: r for r in read_warc(files).collect()}
     for k, h in enumerate(html):
         last = max(j for j in range(80) if html[j] == h)
