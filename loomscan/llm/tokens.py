@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,12 +19,13 @@ from pyspark.sql import functions as F
 from .common import AtomicFile, open_fs, partitions, scratch, ship, table
 
 SLICE = 512  # rows turned into Python objects at once
-CACHE = 300_000  # entries of a worker's unit cache
+CACHE = 300_000  # words whose counts a worker keeps
+UNITS = 600_000  # units whose ids a worker keeps, twice at most
 LONG_UNIT = 64  # longer units aren't cached
 
 _tokenizers: dict[str, object] = {}
 _counts: dict[str, dict[bytes, int]] = {}
-_ids: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {}
+_ids: dict[str, Units | None] = {}
 
 
 def load_tokenizer(name: str):
@@ -159,36 +163,74 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: ends where letters end, if no other letter or digit follows, and where white space follows something else; what comes
 #: after is split without a look back. So such units can be encoded one by one.
 _UNIT = re.compile(r"[ \t\n\r\x0b\x0c]*[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+(?!\w)|[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+\Z")
+#: Pre-tokens of the byte-level pattern in units of ASCII and Latin letters. Each goes to the merges on its own, so new
+#: units are joined from them.
+_PLAIN = re.compile(r"[\x00-\x7f\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
+_PIECE = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+| ?[0-9]+| ?[^\sA-Za-z0-9\xc0-\xd6\xd8-\xf6\xf8-\xff]+|\s+(?!\S)|\s+", re.A)
 #: White space for which the libraries may differ; texts that have it are encoded whole.
 _ODD = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 
 
-def id_encoder(tokenizer: str):
-    """A function from texts to their ids as little-endian unsigned 32-bit bytes, units cached per worker."""
-    tok = load_tokenizer(tokenizer)
-    young, old = _ids.setdefault(tokenizer, ({}, {}))
+def byte_letters() -> dict[int, int]:
+    """The character that stands for each byte in byte-level vocabularies: printable Latin-1 itself, others from 256 on."""
+    printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
+    others = [b for b in range(256) if b not in printable]
+    return {b: b for b in printable} | {b: 256 + k for k, b in enumerate(others)}
 
-    def pack(e) -> bytes:
-        return np.asarray(e.ids, "<u4").tobytes()
 
-    def encode(texts: list[str]) -> list[bytes]:
-        units = [None if _ODD.search(t) else _UNIT.findall(t) for t in texts]
-        missing = {u for us in units if us for u in us} - young.keys()
-        young.update((u, old[u]) for u in missing & old.keys())  # what is in use grows no old
-        missing = list(missing - old.keys())
-        for k in range(0, len(missing), 4096):
-            some = missing[k : k + 4096]
-            for u, e in zip(some, tok.encode_batch_fast(some, add_special_tokens=False)):
-                young[u] = pack(e)
-        out = [pack(tok.encode(t, add_special_tokens=False)) if us is None else b"".join(map(young.__getitem__, us)) for t, us in zip(texts, units)]
-        for u in missing:
-            if len(u) > LONG_UNIT:
-                del young[u]
-        if len(young) > CACHE:
-            old.clear()
-            old.update(young)
-            young.clear()
-        return out
+def by_bytes(tok) -> bool:
+    """Whether a tokenizer is one whose pre-tokens are those of the byte-level pattern, without a normaliser."""
+    return tok.normalizer is None and json.loads(tok.to_str())["pre_tokenizer"] in [{"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": x, "use_regex": True} for x in (True, False)]
+
+
+def _pack(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes() if sys.byteorder == "little" else np.asarray(ids, "<u4").tobytes()
+
+
+class Units(dict):
+    """Ids of units as little-endian unsigned 32-bit bytes, found when they are first asked for; two generations of them."""
+
+    def __init__(self, tok):
+        self.tok, self.model, self.letters, self.old = tok, tok.model, byte_letters(), {}
+
+    def __missing__(self, unit: str) -> bytes:
+        if (ids := self.old.get(unit)) is None:
+            ids = self._ids(unit)
+            if len(unit) > LONG_UNIT:
+                return ids
+        self[unit] = ids
+        return ids
+
+    def _ids(self, unit: str) -> bytes:
+        if "<|" in unit or not _PLAIN.fullmatch(unit):
+            return _pack(self.tok.encode(unit, add_special_tokens=False).ids)
+        if len(pieces := _PIECE.findall(unit)) > 1:
+            return b"".join(map(self.__getitem__, pieces))
+        return _pack([t.id for t in self.model.tokenize(unit.encode().decode("latin-1").translate(self.letters))])
+
+    def age(self) -> None:
+        if len(self) > UNITS:
+            self.old = dict(self)
+            self.clear()
+
+
+def id_encoder(tokenizer: str):
+    """A function from texts to their ids as little-endian unsigned 32-bit bytes.
+
+    For byte-level tokenizers, ids of units are cached in the worker; for others each text is encoded as it is.
+    """
+    tok = load_tokenizer(tokenizer)
+    if tokenizer not in _ids:
+        _ids[tokenizer] = Units(tok) if by_bytes(tok) else None
+    known = _ids[tokenizer]
+
+    def encode(texts: list[str]) -> Iterator[bytes]:
+        for t in texts:
+            if known is None or _ODD.search(t):
+                yield _pack(tok.encode(t, add_special_tokens=False).ids)
+            else:
+                yield b"".join(map(known.__getitem__, _UNIT.findall(t)))
+                known.age()
 
     return encode
 
@@ -285,7 +327,7 @@ def write_token_stream(docs: DataFrame, folder: str, id_col: str = "doc_id", tex
     ship(spark)
 
     def run(batches):
-        encode, out, n = id_encoder(tokenizer), None, 0
+        encode, end, out, n = id_encoder(tokenizer), np.asarray([end_id], "<u4").tobytes(), None, 0
         wide = load_tokenizer(tokenizer).get_vocab_size() > 65_536 or end_id > 65_535
         part = TaskContext.get().partitionId()
         uri = f"{folder}/part-{part:06d}.arrow"
@@ -293,7 +335,7 @@ def write_token_stream(docs: DataFrame, folder: str, id_col: str = "doc_id", tex
             for ids, texts in _slices(batch, "id", "text"):
                 out = out or StreamFile(uri, seq_len, wide)
                 for d, packed in zip(ids, encode([t or "" for t in texts])):
-                    out.add(d, np.append(np.frombuffer(packed, "<u4"), np.uint32(end_id)))
+                    out.add(d, np.frombuffer(packed + end, "<u4"))
                 n += len(ids)
         if out:
             out.close()
