@@ -20,6 +20,7 @@ KINDS = ("assign", "access", "hex", "novel")
 #: Words that make what follows within REACH characters of a line sensitive.
 _CONTEXT = re.compile(r"(?i:passw|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth|bearer|signature|client[_-]?id|connection[_-]?string|salt|nonce|session)", re.A)
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=~!@#$%^&*-]{16,}", re.A)
+_EDGES = "+/_.=~!@#$%^&*-"
 REACH, AROUND, MIN_RATIO = 80, 512, 0.7
 
 #: The identifier dictionary: what code and prose around secrets is made of, so that it costs next to nothing.
@@ -66,23 +67,59 @@ def novelty(before: str, candidate: str, after: str) -> float:
     return (compressed(primed, tail + data) - compressed(primed, tail)) / len(data)
 
 
-def novel_spans(text: str) -> list[tuple[int, int, str]]:
-    """Incompressible strings of 16 characters or more that follow a sensitive word in its line, within REACH characters."""
-    out: list[tuple[int, int, str]] = []
+def candidates(text: str) -> list[tuple[int, int]]:
+    """Strings of 16 characters or more that follow a sensitive word in its line, within REACH characters; by place."""
+    out: list[tuple[int, int]] = []
     done = 0
     for m in _CONTEXT.finditer(text):
         stop = text.find("\n", m.end())
         stop = min(len(text) if stop < 0 else stop, m.end() + REACH)
-        for c in _CANDIDATE.finditer(text, m.end()):
+        for c in _CANDIDATE.finditer(text, max(done, m.end())):
             if c.start() >= stop:
                 break
-            if c.start() < done:
-                continue
             done = c.end()
-            s = c[0]
-            mixed = sum(any(f(x) for x in s) for f in (str.isdigit, str.islower, str.isupper)) >= 2
-            if mixed and novelty(text[max(0, c.start() - AROUND) : c.start()], s, text[c.end() : c.end() + AROUND]) >= MIN_RATIO:
-                out.append((c.start(), c.end(), "novel"))
+            out.append(c.span())
+    return out
+
+
+def surroundings(text: str, spans: list[tuple[int, int]], k: int) -> tuple[str, str]:
+    """AROUND characters before and after candidate k, without the other candidates that hold the same string.
+
+    Copies would make each other cheap, and a secret that is used twice would be lost. "=X" and "X&y=1" hold X too.
+    """
+    a, b = spans[k]
+    own = text[a:b].strip(_EDGES)
+    low, high, copies = max(0, a - AROUND), min(len(text), b + AROUND), []
+    for step in (-1, 1):
+        j = k + step
+        while 0 <= j < len(spans) and spans[j][1] > low and spans[j][0] < high:
+            other = text[spans[j][0] : spans[j][1]].strip(_EDGES)
+            if own and other and (own in other or other in own):
+                copies.append(spans[j])
+            j += step
+
+    def cleared(at: int, end: int) -> str:
+        parts = []
+        for x, y in sorted(copies):
+            if x < end and y > at:
+                parts.append(text[at : max(at, x)])
+                at = min(y, end)
+        return "".join([*parts, text[at:end]])
+
+    return cleared(low, a), cleared(b, high)
+
+
+def novel_spans(text: str) -> list[tuple[int, int, str]]:
+    """Candidates that are incompressible; copies of a candidate are judged each without the others."""
+    out: list[tuple[int, int, str]] = []
+    spans = candidates(text)
+    for k, (a, b) in enumerate(spans):
+        s = text[a:b]
+        mixed = sum(any(f(x) for x in s) for f in (str.isdigit, str.islower, str.isupper)) >= 2
+        if mixed:
+            before, after = surroundings(text, spans, k)
+            if novelty(before, s, after) >= MIN_RATIO:
+                out.append((a, b, "novel"))
     return out
 
 
@@ -95,7 +132,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Spans are kind:start:end in code points, end exclusive, by start and kind. Kind novel is the method's: a string in
     a sensitive context with two kinds of digits, lower and upper case, which costs a compressor, primed with an
-    identifier dictionary and the text around it, 0.7 bytes or more a byte. One pass, no shuffle; work in a text grows
+    identifier dictionary and the text around it, 0.7 bytes or more a byte. Other candidates that hold the same string
+    are no part of that text; a copy where nothing is sensitive is. One pass, no shuffle; work in a text grows
     with its length. Null texts are empty; rows repeat as in the input; an empty table gives no rows; other columns are
     ignored.
     """

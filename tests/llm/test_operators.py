@@ -50,6 +50,14 @@ def test_novel_strings():
     assert novel_spans(text) == []  # it stands in the text around already
 
 
+def test_secrets_used_twice_are_found_at_each_place():
+    secret = "kJ8sQz2Lw9xV4bN7mR1tY6uPa3Df5Gh0Zc8Xv2Bn"
+    text = f"api_key={secret}\ncurl -H 'Authorization: Bearer {secret}' http://x.org/?token={secret}&page=1\n"
+    assert [text[a:b].count(secret) for a, b, _ in novel_spans(text)] == [1, 1, 1]
+    line = f"Authorization: Bearer {secret}\n"
+    assert len(novel_spans(line * 2)) == 2 and len(novel_spans(line * 30)) == 30
+
+
 # --- operator 1 --------------------------------------------------------------------------------------------------
 
 
