@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
+from string import ascii_letters, digits
 
 import pyarrow as pa
 import zstandard
@@ -17,10 +19,16 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "novel")
 
-#: Words that make what follows within REACH characters of a line sensitive.
-_CONTEXT = re.compile(r"(?i:passw|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth|bearer|signature|client[_-]?id|connection[_-]?string|salt|nonce|session)", re.A)
+#: Words that make what stands within REACH characters sensitive.
+_CONTEXT = re.compile(r"(?i:passw|secret|token|api[\s_-]?key|access[\s_-]?key|private[\s_-]?key|credential|auth|bearer|signature|client[\s_-]?id|connection[\s_-]?string|salt|nonce|session)", re.A)
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=~!@#$%^&*-]{16,}", re.A)
 _EDGES = "+/_.=~!@#$%^&*-"
+_CHARACTERS = frozenset(ascii_letters + digits + _EDGES)
+_SENTENCE = re.compile(r"[.!?]\s")
+#: The body of a private key: header lines are passed, lines may be broken as in JSON or in concatenated strings.
+_BREAK = r"(?:\s\+\s|[\s\"',]|\\[nrt])"
+_PEM = re.compile(rf"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----{_BREAK}*+(?:[A-Z][A-Za-z-]*+: [^\n\\]*+{_BREAK}++)*+([A-Za-z0-9+/=]{{16,}}+(?:{_BREAK}++[A-Za-z0-9+/=]{{16,}}+)*+(?:{_BREAK}++[A-Za-z0-9+/=]++(?={_BREAK}*+-----END))?)")
+_BETWEEN = re.compile(_BREAK)
 REACH, AROUND, MIN_RATIO = 80, 512, 0.7
 
 #: The identifier dictionary: what code and prose around secrets is made of, so that it costs next to nothing.
@@ -68,18 +76,35 @@ def novelty(before: str, candidate: str, after: str) -> float:
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Strings of 16 characters or more that follow a sensitive word in its line, within REACH characters; by place."""
+    """What may be secret, by place: bodies of private keys, and strings of 16 characters or more near a sensitive word.
+
+    Near is within REACH characters before or after the word, over line feeds too; a sentence's end parts a word from
+    what stands before it.
+    """
+    keys = [m.span(1) for m in _PEM.finditer(text)] if "PRIVATE KEY" in text else []
+    starts = [a for a, _ in keys]
     out: list[tuple[int, int]] = []
     done = 0
+
+    def take(c: re.Match) -> None:
+        nonlocal done
+        done = c.end()
+        k = bisect_right(starts, c.end() - 1)
+        if not k or keys[k - 1][1] <= c.start():
+            out.append(c.span())
+
     for m in _CONTEXT.finditer(text):
-        stop = text.find("\n", m.end())
-        stop = min(len(text) if stop < 0 else stop, m.end() + REACH)
+        low = max(done, m.start() - REACH)
+        while low > done and text[low - 1] in _CHARACTERS:
+            low -= 1
+        for c in _CANDIDATE.finditer(text, low, m.start()) if low < m.start() else ():
+            if not _SENTENCE.search(text, c.end() - 1, m.start()):
+                take(c)
         for c in _CANDIDATE.finditer(text, max(done, m.end())):
-            if c.start() >= stop:
+            if c.start() >= m.end() + REACH:
                 break
-            done = c.end()
-            out.append(c.span())
-    return out
+            take(c)
+    return sorted(out + keys)
 
 
 def surroundings(text: str, spans: list[tuple[int, int]], k: int) -> tuple[str, str]:
@@ -114,7 +139,7 @@ def novel_spans(text: str) -> list[tuple[int, int, str]]:
     out: list[tuple[int, int, str]] = []
     spans = candidates(text)
     for k, (a, b) in enumerate(spans):
-        s = text[a:b]
+        s = _BETWEEN.sub("", text[a:b])
         mixed = sum(any(f(x) for x in s) for f in (str.isdigit, str.islower, str.isupper)) >= 2
         if mixed:
             before, after = surroundings(text, spans, k)
@@ -130,8 +155,8 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Secrets of whole texts: id, n_assign, n_access, n_hex, base_sha256, spans, n_novel.
 
-    Spans are kind:start:end in code points, end exclusive, by start and kind. Kind novel is the method's: a string in
-    a sensitive context with two kinds of digits, lower and upper case, which costs a compressor, primed with an
+    Spans are kind:start:end in code points, end exclusive, by start and kind. Kind novel is the method's: the
+    body of a private key, or a string in a sensitive context (candidates() says which), with two kinds of digits, lower and upper case, which costs a compressor, primed with an
     identifier dictionary and the text around it, 0.7 bytes or more a byte. Other candidates that hold the same string
     are no part of that text; a copy where nothing is sensitive is. One pass, no shuffle; work in a text grows
     with its length. Null texts are empty; rows repeat as in the input; an empty table gives no rows; other columns are
