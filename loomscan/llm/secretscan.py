@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_right
+from math import log2
 from string import ascii_letters, digits
 
 import pyarrow as pa
@@ -29,6 +30,9 @@ _SENTENCE = re.compile(r"[.!?]\s")
 _BREAK = r"(?:\s\+\s|[\s\"',]|\\[nrt])"
 _PEM = re.compile(rf"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----{_BREAK}*+(?:[A-Z][A-Za-z-]*+: [^\n\\]*+{_BREAK}++)*+([A-Za-z0-9+/=]{{16,}}+(?:{_BREAK}++[A-Za-z0-9+/=]{{16,}}+)*+(?:{_BREAK}++[A-Za-z0-9+/=]++(?={_BREAK}*+-----END))?)")
 _BETWEEN = re.compile(_BREAK)
+_OTHER, _LETTERS, _DIGIT, _LOWER, _UPPER = (re.compile(p) for p in ("[^A-Za-z0-9]+", "[A-Za-z]+", "[0-9]", "[a-z]", "[A-Z]"))
+_ALPHABETS = [(n, re.compile(p)) for n, p in ((10, "[0-9]+"), (16, "[0-9a-f]+|[0-9A-F]+"), (26, "[a-z]+|[A-Z]+"), (36, "[a-z0-9]+|[A-Z0-9]+"))]
+CODED = 57
 REACH, AROUND, MIN_RATIO = 80, 512, 0.7
 
 #: The identifier dictionary: what code and prose around secrets is made of, so that it costs next to nothing.
@@ -50,6 +54,7 @@ IDENTIFIERS = " ".join(
     vector version void volatile warning while window workspace wrapper write www xml yaml your_api_key_here changeme example_token
     xxxxxxxxxxxxxxxx 0000000000000000 1234567890123456789 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ .com .org .net .html .json""".split()
 ).encode()
+_PAIRS = {w[k : k + 2] for w in re.findall("[a-z]+", IDENTIFIERS.decode().split(" your_api")[0]) for k in range(len(w) - 1)}
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -134,17 +139,37 @@ def surroundings(text: str, spans: list[tuple[int, int]], k: int) -> tuple[str,
     return cleared(low, a), cleared(b, high)
 
 
+def is_novel(s: str, ratio: float) -> bool:
+    """Whether so many compressed bytes a byte are as many as a random string of the same characters costs.
+
+    The compressor codes characters by their frequency in strings of CODED or more, so there the limit goes down with
+    the size of the smallest usual alphabet that has the string's letters and digits. Strings that pass by that alone,
+    or lack two of digit, lower and upper case, mustn't look like words.
+    """
+    plain = _OTHER.sub("", s)
+    mixed = sum(map(bool, (_DIGIT.search(plain), _LOWER.search(plain), _UPPER.search(plain)))) >= 2
+    if mixed and ratio >= MIN_RATIO:
+        return True
+    size = next((n for n, of in _ALPHABETS if of.fullmatch(plain)), 64)
+    return ratio >= (min(MIN_RATIO, MIN_RATIO / 6 * log2(size)) if len(s) >= CODED else MIN_RATIO) and not wordy(plain)
+
+
+def wordy(s: str) -> bool:
+    """Whether a string is mostly letters and three quarters of their pairs are pairs of the identifier dictionary."""
+    runs = _LETTERS.findall(s)
+    pairs = [r[k : k + 2].lower() for r in runs for k in range(len(r) - 1)]
+    return 4 * sum(map(len, runs)) > 3 * len(s) and 4 * sum(p in _PAIRS for p in pairs) >= 3 * len(pairs)
+
+
 def novel_spans(text: str) -> list[tuple[int, int, str]]:
     """Candidates that are incompressible; copies of a candidate are judged each without the others."""
     out: list[tuple[int, int, str]] = []
     spans = candidates(text)
     for k, (a, b) in enumerate(spans):
         s = _BETWEEN.sub("", text[a:b])
-        mixed = sum(any(f(x) for x in s) for f in (str.isdigit, str.islower, str.isupper)) >= 2
-        if mixed:
-            before, after = surroundings(text, spans, k)
-            if novelty(before, s, after) >= MIN_RATIO:
-                out.append((a, b, "novel"))
+        before, after = surroundings(text, spans, k)
+        if is_novel(s, novelty(before, s, after)):
+            out.append((a, b, "novel"))
     return out
 
 
@@ -155,12 +180,12 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Secrets of whole texts: id, n_assign, n_access, n_hex, base_sha256, spans, n_novel.
 
-    Spans are kind:start:end in code points, end exclusive, by start and kind. Kind novel is the method's: the
-    body of a private key, or a string in a sensitive context (candidates() says which), with two kinds of digits, lower and upper case, which costs a compressor, primed with an
-    identifier dictionary and the text around it, 0.7 bytes or more a byte. Other candidates that hold the same string
-    are no part of that text; a copy where nothing is sensitive is. One pass, no shuffle; work in a text grows
-    with its length. Null texts are empty; rows repeat as in the input; an empty table gives no rows; other columns are
-    ignored.
+    Spans are kind:start:end in code points, end exclusive, by start and kind. Kind novel is the method's: the body of a
+    private key, or a string in a sensitive context (candidates() says which), which costs a compressor, primed with an
+    identifier dictionary and the text around it, 0.7 bytes or more a byte, less for long strings of few different
+    characters (is_novel()). Other candidates that hold the same string are no part of that text; a copy where nothing
+    is sensitive is. One pass, no shuffle; work in a text grows with its length. Null texts are empty; rows repeat as in
+    the input; an empty table gives no rows; other columns are ignored.
     """
     ship(docs.sparkSession)
     kinds = [("id", pa.int64()), *((n, pa.int64()) for n in ("n_assign", "n_access", "n_hex")), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_novel", pa.int64())]

@@ -72,6 +72,16 @@ def test_secrets_around_sensitive_words_and_private_keys():
     assert novel_spans("it begins with -----BEGIN RSA PRIVATE KEY----- and then comes the body of it") == []
 
 
+def test_random_strings_of_small_alphabets_are_novel():
+    rng = random.Random(5)
+    for letters in ("0123456789", "0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"):
+        for n in (32, 64, 96, 128, 256, 1000):
+            secret = "".join(rng.choices(letters, k=n))
+            assert [s[:2] for s in novel_spans(f"the token is {secret} here")] == [(13, 13 + n)]
+    for plain in ("internationalization", "the_quick_brown_fox_jumps_over_lazy_dogs", "donaudampfschifffahrtsgesellschaft", "-" * 60, "1234567890" * 5):
+        assert novel_spans(f"the token is {plain} here") == []
+
+
 # --- operator 1 --------------------------------------------------------------------------------------------------
 
 
