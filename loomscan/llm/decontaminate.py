@@ -17,8 +17,10 @@ EDITS = 0.05  # edit budget as a share of an item's length
 PIECE = 250_000  # characters of texts searched at once, more where items are longer
 BLOCK_CHARS = 4_000_000  # of benchmark items a pass holds
 TABLE_BITS = 22
+RUN = 50  # characters of an item that are a quotation of it wherever they stand together
 _P = np.uint64(0x9E3779B97F4A7C15)
-_SPACE = re.compile(r"\s+")
+_SPACE = re.compile(r"[^\S ]")
+_BLANKS = re.compile("(?<= ) +")
 
 
 def normal(text: str) -> str:
@@ -26,7 +28,20 @@ def normal(text: str) -> str:
     low = text.lower()
     if len(low) != len(text):
         low = "".join(x if len(x := c.lower()) == 1 else c for c in text)
-    return _SPACE.sub(lambda m: " " * len(m[0]), low)
+    return _SPACE.sub(" ", low)
+
+
+def squeezed(low: str) -> str:
+    """A normal text with one blank for each run of them."""
+    return _BLANKS.sub("", low) if "  " in low else low
+
+
+def places(low: str) -> np.ndarray:
+    """Where the characters of the squeezed text, and its end, stand in the normal one."""
+    blank = _codes(low) == 32
+    keep = np.ones(len(low), bool)
+    keep[1:] = ~(blank[1:] & blank[:-1])
+    return np.append(np.flatnonzero(keep), len(low))
 
 
 def _codes(text: str) -> np.ndarray:
@@ -77,7 +92,9 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]]):
         self.ids = [i for i, _ in items]
-        self.codes = [_codes(normal(t)) for _, t in items]
+        texts = [normal(t) for _, t in items]
+        flat = [squeezed(t) for t in texts]
+        self.codes = [_codes(t) for t in texts]
         self.sizes = np.array([len(c) for c in self.codes])
         self.edits = np.array([budget(n) for n in self.sizes])
         self.need = self.sizes - Q + 1 - self.edits * Q
@@ -89,10 +106,54 @@ class Index:
         self.pos = np.concatenate([np.arange(len(x)) for x in hashes])[order] if hashes else np.empty(0, np.int64)
         self.seen = np.zeros(1 << TABLE_BITS, bool)
         self.seen[self.hash >> np.uint64(64 - TABLE_BITS)] = True
-        self.reach = int(self.sizes.max() + 4 * self.edits.max() + Q) if len(items) else 0
-
-    def search(self, texts: list[str]) -> Iterator[tuple[int, int, int, int, int]]:
-        """(text, item, start, end, edits) of each region that aligns within an item's edit budget."""
+        self.spread = np.maximum(8, self.sizes // 10)  # diagonals that a quotation's parts may lie apart
+        self.most = np.maximum(2 * Q, (self.sizes + 1) // 2)
+        self.reach = int(self.sizes.max() + max(4 * self.edits.max(), 2 * self.spread.max()) + Q) if len(items) else 0
+        self.flat = self if flat == texts else Index(list(zip(self.ids, flat)))
+
+    def finds(self, texts: list[str]) -> list[tuple[int, int, int, int, int | None]]:
+        """(text, item, start, end, edits) of whole items as in search(), and of quotations, whose edits are None.
+
+        White space that is more or less than the item's costs no edits here. Overlapping quotations of an item are one,
+        and none where a whole item is found.
+        """
+        lows = [normal(t) for t in texts]
+        odd = [k for k, t in enumerate(lows) if self.flat is not self or "  " in t]
+        parts: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        found: dict[tuple[int, int], list[tuple[int, int, int | None]]] = {}
+
+        def put(out, numbers, at) -> None:
+            for k, i, a, b, e in out:
+                k = numbers[k]
+                a, b = at(k, a), at(k, b - 1) + 1
+                if e is None:
+                    parts.setdefault((k, i), []).append((a, b))
+                elif all(b <= x or y <= a for x, y, _ in found.get((k, i), ())):
+                    found.setdefault((k, i), []).append((a, b, e))
+
+        put(self.search(lows, True), range(len(lows)), lambda k, x: x)
+        where: dict[int, np.ndarray] = {}
+
+        def unsqueezed(k: int, x: int) -> int:
+            if k not in where:
+                where[k] = places(lows[k])
+            return int(where[k][x])
+
+        if odd:
+            put(self.flat.search([squeezed(lows[k]) for k in odd], True), odd, unsqueezed)
+        for key, spans in parts.items():
+            merged: list[list[int]] = []
+            for a, b in sorted(spans):
+                if merged and a < merged[-1][1]:
+                    merged[-1][1] = max(merged[-1][1], b)
+                else:
+                    merged.append([a, b])
+            whole = list(found.get(key, ()))
+            found.setdefault(key, []).extend((a, b, None) for a, b in merged if all(b <= x or y <= a for x, y, _ in whole))
+        return [(k, i, *x) for (k, i), rows in found.items() for x in rows]
+
+    def search(self, texts: list[str], quotations: bool = False) -> Iterator[tuple[int, int, int, int, int | None]]:
+        """(text, item, start, end, edits) of each region that aligns within an item's edit budget, and of quotations."""
         held, size, most = [], 0, max(PIECE, 4 * self.reach)
         for k, t in enumerate(texts):
             low = normal(t)
@@ -102,14 +163,39 @@ class Index:
                 held.append((k, at, piece))
                 size += len(piece)
                 if size >= most:
-                    yield from self._search(held)
+                    yield from self._search(held, quotations)
                     held, size = [], 0
                 if at + most >= len(low):
                     break
                 at += most - self.reach
-        yield from self._search(held)
-
-    def _search(self, pieces: list[tuple[int, int, str]]) -> Iterator[tuple[int, int, int, int, int]]:
+        yield from self._search(held, quotations)
+
+    def _quotations(self, piece: np.ndarray, item: np.ndarray, pos: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(piece, item, start, end) of quotations among the hits: shared Q-grams at pos of an item and at of a piece.
+
+        A quotation is RUN characters in a run, or most of the item in one band of diagonals.
+        """
+        shift = at - pos + self.sizes[item]
+        order = np.lexsort((pos, shift, item, piece))
+        p, i, d, x = piece[order], item[order], shift[order], pos[order]
+        heads = np.concatenate([[0], np.flatnonzero((p[1:] != p[:-1]) | (i[1:] != i[:-1]) | (d[1:] != d[:-1]) | (x[1:] != x[:-1] + 1)) + 1])
+        sizes = np.diff(np.append(heads, len(p))) + Q - 1
+        for h, n in zip(heads[sizes >= RUN].tolist(), sizes[sizes >= RUN].tolist()):
+            start = int(d[h] - self.sizes[i[h]] + x[h])
+            yield int(p[h]), int(i[h]), start, start + n
+        band = shift // self.spread[item]
+        keys = np.stack([np.tile(piece, 2), np.tile(item, 2), np.concatenate([band, band - 1]), np.tile(pos, 2), np.tile(at, 2)], 1)
+        keys = keys[np.lexsort(keys.T[::-1])]
+        same = np.all(keys[1:, :3] == keys[:-1, :3], axis=1)
+        heads = np.concatenate([[0], np.flatnonzero(~same) + 1])
+        fresh = np.concatenate([[Q], np.where(same, np.minimum(keys[1:, 3] - keys[:-1, 3], Q), Q)])  # characters of the item that a hit adds
+        covered = np.add.reduceat(fresh, heads)
+        enough = covered >= self.most[keys[heads, 1]]
+        first, last = np.minimum.reduceat(keys[:, 4], heads), np.maximum.reduceat(keys[:, 4], heads)
+        for (q, j), a, b in zip(keys[heads[enough], :2].tolist(), first[enough].tolist(), last[enough].tolist()):
+            yield q, j, a, b + Q
+
+    def _search(self, pieces: list[tuple[int, int, str]], quotations: bool) -> Iterator[tuple[int, int, int, int, int | None]]:
         pieces = [p for p in pieces if len(p[2]) >= Q]
         if not pieces or not len(self.hash):
             return
@@ -126,6 +212,10 @@ class Index:
         entry = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
         item, pos = self.item[entry], self.pos[entry]
         piece = np.searchsorted(starts, where, "right") - 1
+        if quotations:
+            for p, i, a, b in self._quotations(piece, item, pos, where - starts[piece]):
+                k, offset, _ = pieces[p]
+                yield k, i, offset + a, offset + b, None
         width = np.maximum(self.edits[item], 1)
         diagonal = where - starts[piece] - pos + self.sizes[item]  # 0 or more
         band = diagonal // width
@@ -167,7 +257,7 @@ def benchmark_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: st
         yield Index(block)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", quotations: bool = False) -> DataFrame:
     """Passages of documents that are benchmark items, but for a few edits: id, item_id, start, end, edits, row_hash.
 
     A document matches if a part of it, in lower case and with blanks for white space, is within 5 % edits of a whole
@@ -175,6 +265,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     as wide as the edits allow; bands that have so many are aligned. Places are code points of the text, start is end
     less the item's length. Overlapping finds of an item are one.
 
+    With quotations, parts of items count too, and runs of white space are as one blank: RUN characters of the item
+    together, or 12-grams that cover half of the item, 24 characters at least, on diagonals not more than a tenth of the
+    item apart. Their start and end are those of the shared 12-grams, their edits null.
+
     The benchmark is searched in blocks of bounded size against all documents, one pass without a shuffle each; long
     texts are searched in overlapping pieces. Null or short texts match nothing, items of fewer than 12 characters are
     no evidence and are left out; equal items all match; an empty benchmark or table gives no rows.
@@ -192,7 +286,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             for batch in batches:
                 for k in range(0, batch.num_rows, 512):
                     ids, texts, hashes = (c.to_pylist() for c in batch.slice(k, 512).columns)
-                    found = [(ids[d], index.ids[i], a, b, e, hashes[d]) for d, i, a, b, e in index.search([t or "" for t in texts])]
+                    found = [(ids[d], index.ids[i], a, b, e, hashes[d]) for d, i, a, b, e in (index.finds if quotations else index.search)([t or "" for t in texts])]
                     if found:
                         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), kinds)], names=[id_col, "item_id", "start", "end", "edits", "row_hash"])
@@ -202,7 +296,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Documents in which no benchmark item is found, with their columns; one pass over them a block, no shuffle."""
+    """Documents in which no benchmark item and no quotation of one is found, with their columns; one pass over them a block, no shuffle."""
     ship(docs.sparkSession)
     for index in benchmark_blocks(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(index)
@@ -213,7 +307,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 for k in range(0, batch.num_rows, 512):
                     part = batch.slice(k, 512)
                     texts = part.column(part.schema.get_field_index("text")).to_pylist()
-                    hit = {f[0] for f in index.search([t or "" for t in texts])}
+                    hit = {f[0] for f in index.finds([t or "" for t in texts])}
                     yield part.filter(pa.array([k not in hit for k in range(part.num_rows)]))
 
         docs = docs.mapInArrow(run, docs.schema)
@@ -221,7 +315,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def op8_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    out = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), quotations=True)
     return out.drop("row_hash")
 
 

@@ -8,7 +8,7 @@ import struct
 import zstandard
 from pyspark.sql import functions as F
 
-from loomscan.llm.decontaminate import budget, contaminated, normal, op8_qgram_decontamination
+from loomscan.llm.decontaminate import budget, contaminated, drop_contaminated, normal, op8_qgram_decontamination
 from loomscan.llm.lines import drop_template_lines
 from loomscan.llm.mixing import fair_queue_mix, repeat_mixed
 from loomscan.llm.quality import judge_quality, measure
@@ -179,6 +179,29 @@ def test_exact_passages_of_the_small_tables_are_found(spark):
     assert exact <= {(r["doc_id"], r["item_id"]) for r in op8_qgram_decontamination(spark, SMALL).collect()}
 
 
+def test_quotations_of_items_are_found(spark, make_docs):
+    rng = random.Random(12)
+
+    def prose(n):
+        return " ".join("".join(rng.choices("abcdefgh", k=rng.randrange(3, 8))) for _ in range(n))
+
+    items = [(1, prose(40)), (2, prose(14)), (3, "  ".join(prose(20).split()))]
+    long, short, spaced = (x for _, x in items)
+    words = short.split()
+    words[7] = "elephants"
+    rows = [
+        (1, f"{prose(30)} {long[: 9 * len(long) // 10]}"), (2, f"{prose(5)} {long[60:120]} {prose(5)}"), (3, f"{prose(9)} {' '.join(words)} {prose(9)}"),
+        (4, f"see\n\n    {long.replace(' ', chr(10) + '      ')}"), (5, " ".join(spaced.split())), (6, f"{prose(20)} {long[:30]} {prose(20)}"), (7, prose(200)), (8, None),
+    ]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = contaminated(make_docs(rows), benchmark, quotations=True).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(1, 1), (2, 1), (3, 2), (4, 1), (5, 3)} and len(found) == 5
+    texts = dict(rows)
+    spans = {r["doc_id"]: texts[r["doc_id"]][r["start"] : r["end"]] for r in found}
+    assert spans[1].strip() in long and long[60:120].strip() in spans[2] and spans[4].split() == long.split()
+    assert {r["doc_id"] for r in drop_contaminated(make_docs(rows), benchmark).collect()} == {6, 7, 8}
+
+
 # --- operator 4 --------------------------------------------------------------------------------------------------
 
 
