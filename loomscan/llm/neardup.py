@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, ship, small_enough, table
+from .common import bounded, dealt_join, materialize, ship, table, workspace
 from .components import components
 
 K, ROWS, BITS = 128, 4, 2  # minima, minima a band, bits kept of each minimum
@@ -19,7 +19,7 @@ MISS = 1e-7  # chance that a pair right at the threshold shares no band
 SIGMAS = 6  # of the estimate, by which a candidate may fall short before its sets are compared
 SLICE = 256
 CACHE = 200_000  # words whose hashes a worker keeps
-BROADCAST_ROWS = 1_000_000
+BLOCK = 1000  # classes of a bucket that are compared with as many others in one place
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _MUL = _rng.integers(0, 1 << 63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -101,40 +101,141 @@ def _matches(a: Column, b: Column) -> Column:
     return out
 
 
-def _sketched(docs: DataFrame, width: int, bands: int) -> DataFrame:
+def _sketched(rows: DataFrame, width: int, bands: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for k in range(0, batch.num_rows, SLICE):
-                ids, texts = (c.to_pylist() for c in batch.slice(k, SLICE).columns)
-                sets = [shingles(t, width) for t in texts]
+                part = batch.slice(k, SLICE)
+                sets = [shingles(t, width) for t in part.column(3).to_pylist()]
                 made = [sketch(s, bands) if len(s) else (None, None) for s in sets]
                 yield pa.RecordBatch.from_pydict(
-                    {"id": pa.array(ids, pa.int64()), "n": pa.array(map(len, sets), pa.int64()), "set_key": pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), "bands": pa.array([a for a, _ in made], pa.list_(pa.int64())), "sig": pa.array([b for _, b in made], pa.list_(pa.int64()))}
+                    {"id": part.column(0), "t1": part.column(1), "t2": part.column(2), "n": pa.array(map(len, sets), pa.int64()), "set_key": pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), "bands": pa.array([a for a, _ in made], pa.list_(pa.int64())), "sig": pa.array([b for _, b in made], pa.list_(pa.int64()))}
                 )
 
-    return docs.mapInArrow(run, "id long, n long, set_key binary, bands array<long>, sig array<long>")
+    return rows.mapInArrow(run, "id long, t1 long, t2 long, n long, set_key binary, bands array<long>, sig array<long>")
 
 
-def _sets(docs: DataFrame, width: int) -> DataFrame:
+def _sets(rows: DataFrame, width: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for k in range(0, batch.num_rows, SLICE):
-                ids, texts = (c.to_pylist() for c in batch.slice(k, SLICE).columns)
-                sets = [shingles(t, width) for t in texts]
-                yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "key": pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), "hashes": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))})
+                part = batch.slice(k, SLICE)
+                yield pa.RecordBatch.from_pydict({"node": part.column(0), "hashes": pa.array([shingles(t, width).view(np.int64) for t in part.column(1).to_pylist()], pa.list_(pa.int64()))})
 
-    return docs.mapInArrow(run, "id long, key binary, hashes array<long>")
+    return rows.mapInArrow(run, "node long, hashes array<long>")
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if small_enough(df, BROADCAST_ROWS) else df
+def _keys(text: Column) -> tuple[Column, Column]:
+    """128 bits of a text's hash; with the id they tell rows apart."""
+    return F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("text"), text).alias("t2")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (x, y) whose full sets are similar enough."""
-    a, b = sets.select(F.col("rep").alias("x"), F.col("hashes").alias("a")), sets.select(F.col("rep").alias("y"), F.col("hashes").alias("b"))
+    """The pairs (x, y) whose full sets are similar enough; an x may be in very many pairs."""
+    pairs = materialize(pairs, "near-pairs")
+    a, b = sets.select(F.col("node").alias("x"), F.col("hashes").alias("a")), sets.select(F.col("node").alias("y"), F.col("hashes").alias("b"))
+    a = a.join(pairs.groupBy("x").agg(F.count("*").alias("w")), "x")
     both = F.size(F.array_intersect("a", "b"))
-    return pairs.join(a, "x").join(b, "y").filter(100 * both >= percent * (F.size("a") + F.size("b") - both)).select("x", "y")
+    joined = dealt_join(pairs.join(b, "y"), a, "x", "w", pairs.count())
+    return materialize(joined.filter(100 * both >= percent * (F.size("a") + F.size("b") - both)).select("x", "y"), "near-links")
+
+
+def _linked(reps: DataFrame, sets_of, bands: int, percent: int) -> DataFrame:
+    """(node, component) of the classes in reps that are linked with others; see near_duplicates."""
+    least = least_matches(percent)
+
+    def close(nx: str, sx: str, ny: str, sy: str) -> Column:
+        """What sizes and signatures don't rule out."""
+        return (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & (_matches(F.col(sx), F.col(sy)) >= least)
+
+    at = reps.select("node", "n", "sig", F.explode("bands").alias("bucket"))
+    shared = materialize(at.groupBy("bucket").agg(F.count("*").alias("in_bucket")).filter("in_bucket > 1"), "near-shared")
+    total = shared.agg(F.coalesce(F.sum("in_bucket"), F.lit(0))).first()[0]
+    members = materialize(dealt_join(at, shared, "bucket", "in_bucket", total), "near-members")
+    degree = members.groupBy("node").agg(F.sum("in_bucket").alias("degree"))
+    members = materialize(members.drop("in_bucket").join(degree, "node"), "near-members")
+    sets = sets_of(materialize(members.select("node").distinct(), "near-candidates"))
+
+    leaders = members.groupBy("bucket").agg(F.max_by(F.struct("node", "n", "sig"), F.struct("degree", (-F.col("node")).alias("r"))).alias("l"), F.max("degree").alias("leads"), F.count("*").alias("in_bucket"))
+    leaders = materialize(leaders.select("bucket", "leads", "in_bucket", F.col("l.node").alias("leader"), F.col("l.n").alias("nl"), F.col("l.sig").alias("sl")), "near-leaders")
+    best = dealt_join(members, leaders, "bucket", "in_bucket", total).filter(F.col("node") != F.col("leader")).filter(close("nl", "sl", "n", "sig"))
+    best = best.groupBy("node").agg(F.max_by("leader", F.struct("leads", (-F.col("leader")).alias("r"))).alias("x"))
+    links = _confirmed(best.select("x", F.col("node").alias("y")), sets, percent)
+    found = components(links, "x", "y")
+
+    def mixed(found: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+        """Members, with their components, of the buckets that hold more than one component; these buckets; the members' number."""
+        x = materialize(members.join(found, "node", "left").select("bucket", "node", "n", "sig", F.coalesce("component", "node").alias("component")), "near-named")
+        many = x.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("in_bucket")).filter("low <> high")
+        many = materialize(many.select("bucket", "in_bucket"), "near-many")
+        n = many.agg(F.coalesce(F.sum("in_bucket"), F.lit(0))).first()[0]
+        return materialize(dealt_join(x, many, "bucket", "in_bucket", n).drop("in_bucket"), "near-mixed"), many, n
+
+    open_, many, n = mixed(found)
+    if n:
+        its = found.select(F.col("node").alias("leader"), F.col("component").alias("its"))
+        led = many.join(leaders.drop("in_bucket"), "bucket").join(its, "leader", "left").withColumn("its", F.coalesce("its", "leader"))
+        second = dealt_join(open_, led, "bucket", "in_bucket", n).filter("component <> its").filter(close("nl", "sl", "n", "sig"))
+        more = _confirmed(second.select(F.col("leader").alias("x"), F.col("node").alias("y")).distinct(), sets, percent)
+        if not more.isEmpty():
+            links = links.union(more)
+            found = components(links, "x", "y")
+            open_, many, n = mixed(found)
+    if n:
+        rest = open_.select("node").distinct()
+        single = sets.join(rest, "node").select("node", F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("c"), F.min("node").alias("node")).filter("c = 1")
+        alone = single.groupBy("node").agg(F.count("*").alias("alone"))
+        info = reps.join(rest, "node").join(alone, "node", "left").select("node", "bands", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("core"))
+        info = info.filter(100 * F.col("core") >= percent * F.col("n"))  # others are similar to none
+        open_ = materialize(open_.join(info, "node"), "near-open")
+        by_component = open_.groupBy("bucket", "component").agg(F.count("*").alias("c"))
+        major = by_component.groupBy("bucket").agg(F.max_by("component", F.struct("c", "component")).alias("major"), F.sum("c").alias("in_bucket"), F.count("*").alias("several")).filter("several > 1")
+        major = materialize(major.select("bucket", "major", "in_bucket"), "near-major")
+        open_ = dealt_join(open_, major, "bucket", "in_bucket", n).withColumn("blocks", F.ceil(F.col("in_bucket") / BLOCK).cast("int"))
+        open_ = materialize(open_.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")), "near-open")
+        own = ("node", "component", "n", "core", "sig", "bands")
+        every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        a = open_.filter("component <> major").select("bucket", F.col("block").alias("block_a"), every.alias("block_b"), *[F.col(c).alias(f"{c}_a") for c in own])
+        b = open_.select("bucket", every.alias("block_a"), F.col("block").alias("block_b"), (F.col("component") == F.col("major")).alias("in_major"), *[F.col(c).alias(f"{c}_b") for c in own])
+        once = (F.col("component_a") != F.col("component_b")) & (F.col("in_major") | (F.col("node_a") < F.col("node_b")))
+        able = (100 + percent) * F.least("core_a", "core_b") >= percent * (F.col("n_a") + F.col("n_b"))
+        here = F.get(F.array_intersect("bands_a", "bands_b"), F.lit(0)) == F.col("bucket")  # of several shared buckets, the first
+        third = a.join(b, ["bucket", "block_a", "block_b"]).filter(once & able & close("n_a", "sig_a", "n_b", "sig_b") & here)
+        more = _confirmed(third.select(F.col("node_a").alias("x"), F.col("node_b").alias("y")), sets, percent)
+        if not more.isEmpty():
+            found = components(links.union(more), "x", "y")
+    return found
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+    """id, t1, t2, n, component_id of each row, and of those with shingles the group's row that stays (i0, t1, t2)."""
+    spark = docs.sparkSession
+    ship(spark)
+    bands = band_count(percent)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), *_keys(F.col(text_col)), F.col(text_col).alias("text"))
+    with workspace(spark):
+        sketched = materialize(_sketched(rows, width, bands), "near-sketches")
+        row = F.struct(F.col("id").isNull().alias("none"), "id", "t1", "t2")
+        reps = sketched.filter("n > 0").groupBy("set_key").agg(F.count("*").alias("copies"), F.min(row).alias("row"), *[F.any_value(c).alias(c) for c in ("n", "bands", "sig")])
+        reps = materialize(reps.withColumn("node", F.monotonically_increasing_id()), "near-reps")
+        repeated = not sketched.filter("n > 0").groupBy("id", "t1", "t2").count().filter("count > 1").isEmpty()
+
+        def sets_of(nodes: DataFrame) -> DataFrame:
+            wanted = reps.join(nodes, "node").select("node", F.col("row.id").alias("i"), F.col("row.t1").alias("a"), F.col("row.t2").alias("b"))
+            wanted = bounded(materialize(wanted, "near-wanted"))
+            texts = rows.join(wanted, F.col("id").eqNullSafe(F.col("i")) & (F.col("t1") == F.col("a")) & (F.col("t2") == F.col("b")))
+            sets = _sets(texts.select("node", "text"), width)
+            return materialize(sets.dropDuplicates(["node"]) if repeated else sets, "near-sets")
+
+        found = _linked(reps, sets_of, bands, percent)
+        named = materialize(reps.join(found, "node", "left").select("set_key", "copies", "row", F.coalesce("component", "node").alias("component")), "near-named")
+        groups = named.groupBy("component").agg(F.min("row").alias("first"), F.count("*").alias("classes"))
+        named = materialize(dealt_join(named.select("component", "set_key", "copies"), groups, "component", "classes", named.count()), "near-groups")
+        narrow = sketched.select("id", "t1", "t2", "n", "set_key")
+        out = dealt_join(narrow.filter("n > 0"), named, "set_key", "copies", sketched.count())
+        out = out.select("id", "t1", "t2", "n", F.col("first.id").alias("component_id"), "first")
+        none = narrow.filter("n = 0").select("id", "t1", "t2", "n", F.col("id").alias("component_id"), F.lit(None).cast(out.schema["first"].dataType).alias("first"))
+        return materialize(out.union(none), "near-rows", keep=True)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -149,91 +250,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     In a large bucket not all pairs are compared: first each class with the most connected class of its buckets, then
     all with the leaders of their buckets, and after that only what still lies in different components, less the pairs
     that cannot be similar: with u(x) shingles of x that no other class in question has, x and y share
-    min(n(x)-u(x), n(y)-u(y)) at most. Skipped pairs lie in one component or can't be links, so none is lost.
+    min(n(x)-u(x), n(y)-u(y)) at most. Skipped pairs lie in one component or can't be links, so none is lost. Large
+    buckets, classes and groups are dealt over many tasks; the pairs left in a bucket are met by blocks of it.
 
     Null, empty and blank texts have empty sets, component_id = id, and are kept. Shorter texts are one shingle. Rows
-    that repeat an id and text are kept alike; rows with a null id get the component of their equals, and are kept if
-    they have none. An empty table gives no rows; other columns are ignored.
+    that repeat an id and text are kept alike, and rows that repeat an id with other texts are documents of their own;
+    rows with a null id get the component of their equals, and are kept if they have none. An empty table gives no
+    rows; other columns are ignored.
+    """
+    out = _grouped(docs, id_col, text_col, width, percent)
+    kept = F.coalesce(F.col("id") == F.col("component_id"), F.col("component_id").isNull())
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each group of near copies, with the columns of docs: the one with the smallest id.
+
+    Of rows with that id, the text with the least hash stays; of rows that repeat id and text, one of them. Rows with
+    null ids stay only where a group has no other. Texts without words are in no group and all stay. Rows are told
+    apart by id and 128 bits of their text's hash.
     """
     spark = docs.sparkSession
-    ship(spark)
-    bands, least = band_count(percent), least_matches(percent)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketched = materialize(_sketched(rows, width, bands), "near-sketches")
-    classes = sketched.filter("n > 0 and id is not null").groupBy("set_key").agg(F.min("id").alias("rep"))
-    classes = materialize(classes, "near-classes")
-    reps = sketched.join(classes.toDF("k", "rep"), (F.col("set_key") == F.col("k")) & (F.col("id") == F.col("rep"))).select("rep", "n", "set_key", "bands", "sig")
-    reps = materialize(reps.dropDuplicates(["rep", "set_key"]), "near-reps")
-
-    at = reps.select("rep", F.explode("bands").alias("bucket"))
-    shared = at.groupBy("bucket").agg(F.count("*").alias("in_bucket")).filter("in_bucket > 1")
-    members = materialize(at.join(shared, "bucket"), "near-members")
-    degree = members.groupBy("rep").agg(F.sum("in_bucket").alias("degree"))
-    about = materialize(reps.join(degree, "rep").select("rep", "n", "set_key", "sig", "degree"), "near-candidates")
-    wanted = _bounded(about.select("rep", F.col("set_key").alias("rep_key")))
-    sets = _sets(rows.join(wanted.select("rep"), F.col("id") == F.col("rep"), "left_semi"), width)
-    sets = materialize(sets.join(wanted, (F.col("id") == F.col("rep")) & (F.col("key") == F.col("rep_key"))).select("rep", "hashes"), "near-sets")
-
-    sized = about.select("rep", "n", "sig")
-
-    def likely(pairs: DataFrame) -> DataFrame:
-        """Of pairs (x, y), those that sizes and signatures don't rule out."""
-        a, b = sized.toDF("x", "nx", "sx"), sized.toDF("y", "ny", "sy")
-        close = (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & (_matches(F.col("sx"), F.col("sy")) >= least)
-        return pairs.join(a, "x").join(b, "y").filter(close).select("x", "y")
-
-    members = materialize(members.join(about.select("rep", "degree"), "rep").select("bucket", "rep", "degree"), "near-members")
-    leaders = materialize(members.groupBy("bucket").agg(F.max_by("rep", F.struct("degree", (-F.col("rep")).alias("r"))).alias("leader"), F.max("degree").alias("leads")), "near-leaders")
-    best = members.join(leaders, "bucket").filter("rep <> leader").groupBy("rep").agg(F.max_by("leader", F.struct("leads", (-F.col("leader")).alias("r"))).alias("x"))
-    links = materialize(_confirmed(likely(best.select("x", F.col("rep").alias("y"))), sets, percent), "near-links")
-    found = materialize(components(links, "x", "y"), "near-found")
-
-    def mixed(found: DataFrame) -> DataFrame:
-        """Members, with their components, of the buckets that hold more than one component."""
-        x = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
-        many = x.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("bucket")
-        return materialize(x.join(many, "bucket"), "near-mixed")
-
-    open_ = mixed(found)
-    second = open_.join(leaders.select("bucket", "leader"), "bucket").join(open_.select("bucket", F.col("rep").alias("leader"), F.col("component").alias("its")), ["bucket", "leader"])
-    second = second.filter("component <> its").select(F.col("leader").alias("x"), F.col("rep").alias("y")).distinct()
-    links = links.union(materialize(_confirmed(likely(second), sets, percent), "near-links"))
-    found = materialize(components(links, "x", "y"), "near-found")
-
-    open_ = mixed(found)
-    rest = open_.select("rep").distinct()
-    single = sets.join(rest, "rep").select("rep", F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("c"), F.min("rep").alias("rep")).filter("c = 1")
-    alone = single.groupBy("rep").agg(F.count("*").alias("alone"))
-    info = about.join(rest, "rep").join(alone, "rep", "left").select("rep", "n", "sig", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("core"))
-    info = info.filter(100 * F.col("core") >= percent * F.col("n"))  # others are similar to none
-    info = _bounded(materialize(info, "near-info"))
-    major = open_.groupBy("bucket", "component").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.max_by("component", F.struct("c", "component")).alias("major"))
-    open_ = open_.join(info, "rep").join(major, "bucket").join(reps.select("rep", "bands"), "rep").join(sets, "rep")
-    open_ = materialize(open_, "near-open")
-    own = ("rep", "component", "n", "core", "sig", "bands", "hashes")
-    a = open_.filter("component <> major").select("bucket", *[F.col(c).alias(f"{c}_a") for c in own])
-    b = open_.select("bucket", (F.col("component") == F.col("major")).alias("in_major"), *[F.col(c).alias(f"{c}_b") for c in own])
-    sizes = F.col("n_a") + F.col("n_b")
-    once = (F.col("component_a") != F.col("component_b")) & (F.col("in_major") | (F.col("rep_a") < F.col("rep_b")))
-    able = ((100 + percent) * F.least("core_a", "core_b") >= percent * sizes) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    here = F.get(F.array_intersect("bands_a", "bands_b"), F.lit(0)) == a["bucket"]  # of several shared buckets, the first
-    linked = (100 + percent) * F.size(F.array_intersect("hashes_a", "hashes_b")) >= percent * sizes
-    # All of it is the join's condition, so that only links become rows, not what is compared.
-    third = a.join(b, (a["bucket"] == b["bucket"]) & once & able & (_matches(F.col("sig_a"), F.col("sig_b")) >= least) & here & linked)
-    links = links.union(materialize(third.select(F.col("rep_a").alias("x"), F.col("rep_b").alias("y")), "near-links"))
-    found = materialize(components(links, "x", "y"), "near-found")
-
-    named = classes.join(found, F.col("rep") == F.col("node"), "left").select(F.col("set_key").alias("k"), F.coalesce("component", "rep").alias("component"))
-    out = sketched.join(named, F.col("set_key") == F.col("k"), "left")
-    component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, component.isNull()).alias("kept"))
-
-
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """One document of each group of near copies, with the columns of docs."""
-    kept = near_duplicates(docs, **options).filter("kept").select(F.col("doc_id").alias("_loomscan_kept")).distinct()
-    kept = _bounded(materialize(kept, "near-kept"))
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_loomscan_kept")), "left_semi")
+    rows = _grouped(docs, id_col, text_col, width, percent).filter("n > 0")
+    first = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("t1") == F.col("first.t1")) & (F.col("t2") == F.col("first.t2"))
+    names = [F.col(c).alias(f"_loomscan_{c}") for c in ("id", "t1", "t2")]
+    gone = bounded(materialize(rows.filter(~first).select(*names).distinct(), "near-gone"))
+    again = materialize(rows.filter(first).groupBy("id", "t1", "t2").count().filter("count > 1").select(*names), "near-again")
+    t1, t2 = _keys(F.col(text_col))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_loomscan_id")) & (t1 == F.col("_loomscan_t1")) & (t2 == F.col("_loomscan_t2"))
+    out = docs.join(gone, same, "left_anti")
+    if again.isEmpty():
+        return out
+    again = bounded(again)
+    once = docs.join(again, same).dropDuplicates(["_loomscan_id", "_loomscan_t1", "_loomscan_t2"]).select(*docs.columns)
+    return out.join(again, same, "left_anti").union(once)
 
 
 def op3_minhash_bbit(spark: SparkSession, sf_dir: str) -> DataFrame:

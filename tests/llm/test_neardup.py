@@ -79,6 +79,15 @@ def test_small_table(spark):
     assert sorted(r["doc_id"] for r in keep_one(docs).collect()) == sorted(r["doc_id"] for r in got if r["kept"])
 
 
+def test_rows_that_share_an_id_are_documents_of_their_own(make_docs):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    docs = make_docs([(1, a, "first"), (1, b, "x"), (0, a, "x"), (2, b + " more", "x"), (5, c, "x"), (5, c, "x"), (None, c, "x"), (None, "only here", "x"), (None, "only here", "x"), (7, None, "x"), (7, None, "x")])
+    kept = [(r["doc_id"], r["text"]) for r in keep_one(docs).collect()]
+    assert sorted(map(str, kept)) == sorted(map(str, [(0, a), (1, b), (5, c), (None, "only here"), (7, None), (7, None)]))
+    got = sorted({(str(r["doc_id"]), r["n_shingles"], r["component_id"]) for r in near_duplicates(docs).collect()}, key=str)
+    assert got == sorted([("1", 26, 0), ("1", 26, 1), ("0", 26, 0), ("2", 27, 1), ("5", 26, 5), ("None", 26, 5), ("None", 1, None), ("7", 0, 7)], key=str)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text(alphabet="aAbBé \n\t", max_size=60), st.integers(1, 5))
 def test_shingles(text, width):
