@@ -26,14 +26,14 @@ _CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=~!@#$%^&*-]{16,}", re.A)
 _EDGES = "+/_.=~!@#$%^&*-"
 _CHARACTERS = frozenset(ascii_letters + digits + _EDGES)
 _SENTENCE = re.compile(r"[.!?]\s")
-#: The body of a private key: header lines are passed, lines may be broken as in JSON or in concatenated strings.
+#: The body of a private key: up to 16 header lines are passed, lines may be broken as in JSON or in concatenated strings.
 _BREAK = r"(?:\s\+\s|[\s\"',]|\\[nrt])"
-_PEM = re.compile(rf"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----{_BREAK}*+(?:[A-Z][A-Za-z-]*+: [^\n\\]*+{_BREAK}++)*+([A-Za-z0-9+/=]{{16,}}+(?:{_BREAK}++[A-Za-z0-9+/=]{{16,}}+)*+(?:{_BREAK}++[A-Za-z0-9+/=]++(?={_BREAK}*+-----END))?)")
+_PEM = re.compile(rf"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----{_BREAK}*+(?:[A-Z][A-Za-z-]{{0,40}}+: [^\n\\]{{0,200}}+{_BREAK}++){{0,16}}+([A-Za-z0-9+/=]{{16,}}+(?:{_BREAK}++[A-Za-z0-9+/=]{{16,}}+)*+(?:{_BREAK}++[A-Za-z0-9+/=]++(?={_BREAK}*+-----END))?)")
 _BETWEEN = re.compile(_BREAK)
 _OTHER, _LETTERS, _DIGIT, _LOWER, _UPPER = (re.compile(p) for p in ("[^A-Za-z0-9]+", "[A-Za-z]+", "[0-9]", "[a-z]", "[A-Z]"))
 _ALPHABETS = [(n, re.compile(p)) for n, p in ((10, "[0-9]+"), (16, "[0-9a-f]+|[0-9A-F]+"), (26, "[a-z]+|[A-Z]+"), (36, "[a-z0-9]+|[A-Z0-9]+"))]
 CODED = 57
-REACH, AROUND, MIN_RATIO = 80, 512, 0.7
+REACH, AROUND, MIN_RATIO, SHORTEST = 80, 512, 0.7, 16
 
 #: The identifier dictionary: what code and prose around secrets is made of, so that it costs next to nothing.
 IDENTIFIERS = " ".join(
@@ -64,10 +64,6 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out + [(m.start(), m.end(), "hex") for m in _HEX.finditer(text)]
 
 
-def compressed(dictionary: zstandard.ZstdCompressionDict, data: bytes) -> int:
-    return len(zstandard.ZstdCompressor(level=9, dict_data=dictionary, write_checksum=False, write_content_size=False, write_dict_id=False).compress(data))
-
-
 def novelty(before: str, candidate: str, after: str) -> float:
     """Compressed bytes that the candidate adds to its surroundings, for each of its own bytes.
 
@@ -75,40 +71,50 @@ def novelty(before: str, candidate: str, after: str) -> float:
     """
     around = (before + "\n" + after).encode("utf-8", "replace")
     primed = zstandard.ZstdCompressionDict(IDENTIFIERS + b"\n" + around, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    compress = zstandard.ZstdCompressor(level=9, dict_data=primed, write_checksum=False, write_content_size=False, write_dict_id=False).compress
     tail = before[-32:].encode("utf-8", "replace")
     data = candidate.encode()
-    return (compressed(primed, tail + data) - compressed(primed, tail)) / len(data)
+    return (len(compress(tail + data)) - len(compress(tail))) / len(data)
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
     """What may be secret, by place: bodies of private keys, and strings of 16 characters or more near a sensitive word.
 
     Near is within REACH characters before or after the word, over line feeds too; a sentence's end parts a word from
-    what stands before it.
+    what stands before it. Runs of candidate characters are found once and met with the sensitive words in order, so
+    work grows with the text's length; a word inside a run ends the candidate before it.
     """
+    words = [m.span() for m in _CONTEXT.finditer(text)]
     keys = [m.span(1) for m in _PEM.finditer(text)] if "PRIVATE KEY" in text else []
     starts = [a for a, _ in keys]
+    runs = [m.span() for m in _CANDIDATE.finditer(text)] if words else []
+    ends = [b for _, b in runs]
     out: list[tuple[int, int]] = []
     done = 0
 
-    def take(c: re.Match) -> None:
+    def take(a: int, b: int) -> None:
         nonlocal done
-        done = c.end()
-        k = bisect_right(starts, c.end() - 1)
-        if not k or keys[k - 1][1] <= c.start():
-            out.append(c.span())
-
-    for m in _CONTEXT.finditer(text):
-        low = max(done, m.start() - REACH)
-        while low > done and text[low - 1] in _CHARACTERS:
-            low -= 1
-        for c in _CANDIDATE.finditer(text, low, m.start()) if low < m.start() else ():
-            if not _SENTENCE.search(text, c.end() - 1, m.start()):
-                take(c)
-        for c in _CANDIDATE.finditer(text, max(done, m.end())):
-            if c.start() >= m.end() + REACH:
-                break
-            take(c)
+        done = b
+        k = bisect_right(starts, b - 1)
+        if not k or keys[k - 1][1] <= a:
+            out.append((a, b))
+
+    for start, end in words:
+        low = max(done, start - REACH)
+        k = bisect_right(ends, low)
+        if k < len(runs) and runs[k][0] < low:
+            low = max(done, runs[k][0])
+        while k < len(runs) and runs[k][0] < start:
+            a, b = max(low, runs[k][0]), min(start, runs[k][1])
+            if b - a >= SHORTEST and not _SENTENCE.search(text, b - 1, start):
+                take(a, b)
+            k += 1
+        at = max(done, end)
+        k = bisect_right(ends, at)
+        while k < len(runs) and max(at, runs[k][0]) < end + REACH:
+            if runs[k][1] - max(at, runs[k][0]) >= SHORTEST:
+                take(max(at, runs[k][0]), runs[k][1])
+            k += 1
     return sorted(out + keys)
 
 
@@ -184,7 +190,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     private key, or a string in a sensitive context (candidates() says which), which costs a compressor, primed with an
     identifier dictionary and the text around it, 0.7 bytes or more a byte, less for long strings of few different
     characters (is_novel()). Other candidates that hold the same string are no part of that text; a copy where nothing
-    is sensitive is. One pass, no shuffle; work in a text grows with its length. Null texts are empty; rows repeat as in
+    is sensitive is. One pass, no shuffle; work in a text grows with its length and the number of candidates. Null texts are empty; rows repeat as in
     the input; an empty table gives no rows; other columns are ignored.
     """
     ship(docs.sparkSession)
