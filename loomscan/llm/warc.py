@@ -2,30 +2,33 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import AtomicFile, materialize, open_fs, partitions, scratch, ship, small_enough, table
+from .common import AtomicFile, bounded, dealt_join, materialize, open_fs, partitions, scratch, ship, table, workspace
 
 DICT_MAGIC = 0x184D2A5D  # the skippable frame in which .warc.zst files carry their dictionary
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-BROADCAST_ROWS = 500_000
+REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+STEP = 8192  # bytes a frame is given at once
 
 
 def dictionary_of(samples: list[bytes], size: int, level: int) -> bytes:
-    """A Zstandard dictionary trained on records; empty where they are too few or too small to train on."""
+    """A Zstandard dictionary trained on records; where they are too few or too small to train on, their own bytes."""
     try:
-        return zstandard.train_dictionary(size, samples, level=level).as_bytes() if len(samples) >= 8 else b""
+        return zstandard.train_dictionary(size, samples, level=level).as_bytes()
     except zstandard.ZstdError:
-        return b""
+        return b"".join(samples)[-size:]
 
 
 class Writer:
@@ -36,12 +39,12 @@ class Writer:
     any record can be read with the dictionary and its offset alone.
     """
 
-    def __init__(self, uri: str, dict_bytes: int = 65_536, sample_bytes: int = 4_000_000, sample_each: int = 65_536, level: int = 3):
+    def __init__(self, uri: str, dict_bytes: int = 65_536, sample_bytes: int = 4_000_000, sample_each: int = 65_536, level: int = 3, date: str | None = None):
         self.file, self.level = AtomicFile(uri), level
         self.dict_bytes, self.sample_bytes, self.sample_each = dict_bytes, sample_bytes, sample_each
         self.held: list[bytes] | None = []
         self.n_held = 0
-        self.add(record("warcinfo", uuid.uuid5(uuid.NAMESPACE_URL, uri).urn, [("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n"))
+        self.add(record("warcinfo", uuid.uuid5(uuid.NAMESPACE_URL, uri).urn, date or now(), [("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n"))
 
     def add(self, data: bytes) -> None:
         if self.held is None:
@@ -56,8 +59,7 @@ class Writer:
         held, self.held = self.held, None
         trained = dictionary_of([x[: self.sample_each] for x in held], self.dict_bytes, self.level)
         self.file.out.write(struct.pack("<II", DICT_MAGIC, len(trained)) + trained)
-        shared = {"dict_data": zstandard.ZstdCompressionDict(trained)} if trained else {}
-        self.compressor = zstandard.ZstdCompressor(level=self.level, write_checksum=True, **shared)
+        self.compressor = zstandard.ZstdCompressor(level=self.level, write_checksum=True, dict_data=zstandard.ZstdCompressionDict(trained))
         for x in held:
             self.add(x)
 
@@ -67,8 +69,12 @@ class Writer:
         self.file.commit()
 
 
-def record(kind: str, record_id: str, fields: list[tuple[str, str]], block: bytes) -> bytes:
-    head = [("WARC-Type", kind), ("WARC-Record-ID", f"<{record_id}>"), *fields, ("Content-Length", str(len(block)))]
+def now() -> str:
+    return datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+
+
+def record(kind: str, record_id: str, date: str, fields: list[tuple[str, str]], block: bytes) -> bytes:
+    head = [("WARC-Type", kind), ("WARC-Record-ID", f"<{record_id}>"), ("WARC-Date", date), *fields, ("Content-Length", str(len(block)))]
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
@@ -83,105 +89,124 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def read_records(uri: str, block: int = 1 << 20) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields and block of each record of a .warc.zst file, a frame at a time."""
+    """Header fields and block of each record of a .warc.zst file, a frame at a time.
+
+    A frame is given few bytes at once, so what it leaves over is little, and work grows with the file's length.
+    """
     fs, path = open_fs(uri)
     with fs.open_input_stream(path, compression=None) as f:
         magic, size = struct.unpack("<II", f.read(8))
         if magic != DICT_MAGIC:
             raise ValueError(f"{uri}: no dictionary frame")
         trained = f.read(size)
-        shared = {"dict_data": zstandard.ZstdCompressionDict(trained)} if trained else {}
-        d = zstandard.ZstdDecompressor(**shared)
-        left = b""
-        while left := left or f.read(block):
+        d = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(trained))
+        held, at = memoryview(f.read(block)), 0
+        while len(held):
             frame, parts = d.decompressobj(), []
-            while True:
-                parts.append(frame.decompress(left))
-                if frame.eof:
-                    left = frame.unused_data
-                    break
-                if not (left := f.read(block)):
-                    raise ValueError(f"{uri}: the last record is cut off")
+            while not frame.eof:
+                if at == len(held):
+                    held, at = memoryview(f.read(block)), 0
+                    if not len(held):
+                        raise ValueError(f"{uri}: the last record is cut off")
+                some = held[at : at + STEP]
+                parts.append(frame.decompress(some))
+                at += len(some) - len(frame.unused_data)
             yield parse(b"".join(parts))
+            if at == len(held):
+                held, at = memoryview(f.read(block)), 0
 
 
 def _clean(url: str | None) -> str:
     return "".join(c if c > " " else f"%{ord(c):02X}" for c in url or "") or "urn:none"
 
 
-def decide(pages: DataFrame, id_col: str = "page_id", min_bytes: int = 1000) -> DataFrame:
-    """Rows (id, digest, target): pages that become revisits, and the page whose payload they repeat.
+def _digest(payload: Column) -> Column:
+    return F.sha1(payload)
+
+
+def decide(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", min_bytes: int = 1000) -> DataFrame:
+    """Rows (id, digest, target, target_url): pages that become revisits, and the page whose payload they repeat.
 
     Of pages with equal payloads of at least min_bytes, those with the largest id are responses. Counts are taken by
-    digest before anything is joined, so a payload that very many pages share meets no single task. With one row of an
+    digest before anything is joined, and a payload that very many pages share is dealt over tasks. With one row of an
     id and payload for all rows that repeat them.
     """
-    x = pages.select(F.col(id_col).cast("long").alias("id"), F.encode(F.coalesce(F.col("html"), F.lit("")), "utf-8").alias("payload"))
-    x = x.select("id", F.octet_length("payload").alias("n"), F.sha1("payload").alias("digest")).filter(F.col("n") >= min_bytes)
-    shared = x.groupBy("digest").agg(F.max("id").alias("target"), F.count("*").alias("copies")).filter("copies > 1 and target is not null").drop("copies")
-    shared = materialize(shared, "warc-shared")
-    shared = F.broadcast(shared) if small_enough(shared, BROADCAST_ROWS) else shared
-    return x.join(shared, "digest").filter("id is null or id < target").select("id", "digest", "target").distinct()
+    x = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.encode(F.coalesce(F.col("html"), F.lit("")), "utf-8").alias("payload"))
+    x = x.select("id", "url", F.octet_length("payload").alias("n"), _digest(F.col("payload")).alias("digest")).filter(F.col("n") >= min_bytes)
+    shared = x.groupBy("digest").agg(F.max("id").alias("target"), F.max(F.struct("id", "url")).alias("of"), F.count("*").alias("w")).filter("w > 1 and target is not null")
+    shared = materialize(shared.select("digest", "target", F.col("of.url").alias("target_url"), "w"), "warc-shared")
+    total = shared.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
+    revisits = dealt_join(x.select("id", "digest"), shared, "digest", "w", total)
+    return revisits.filter("id is null or id < target").select("id", "digest", "target", "target_url").distinct()
 
 
-def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 1000) -> DataFrame:
+def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 1000, date: str | None = None) -> DataFrame:
     """Archive pages, one .warc.zst file a task; returns the files: uri, n_records.
 
-    Equal payloads are stored once (see decide), other pages with them become revisit records that name digest and
-    length of the payload and the response. Null html is an empty payload, rows that repeat a page are records each,
-    other columns are ignored; an empty table gives no files.
+    Equal payloads are stored once (see decide); other pages with them become revisit records with the payload's digest
+    and the response's URI and date, the references of WARC 1.1. All records have the date given, that of the call by
+    default. Null html is an empty payload, rows that repeat a page are records each, other columns are ignored; an
+    empty table gives no files.
     """
     spark = pages.sparkSession
     ship(spark)
+    date = date or now()
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    revisits = materialize(decide(rows, "id", min_bytes).toDF("r_id", "r_digest", "target"), "warc-revisits")
-    revisits = F.broadcast(revisits) if small_enough(revisits, BROADCAST_ROWS) else revisits
-    same = F.col("id").eqNullSafe(F.col("r_id")) & (F.sha1(F.encode("html", "utf-8")) == F.col("r_digest"))
-    rows = rows.join(revisits, same, "left").select("id", "url", "html", "target")
-
-    def run(batches):
-        out, n = None, 0
-        uri = f"{folder}/part-{TaskContext.get().partitionId():06d}.warc.zst"
-        for batch in batches:
-            for i in range(batch.num_rows):
-                page, url, html, target = (batch.column(k)[i].as_py() for k in range(4))
-                payload = html.encode()
-                out = out or Writer(uri)
-                fields = [("WARC-Target-URI", _clean(url)), ("X-Page-Id", "" if page is None else str(page)), ("WARC-Payload-Digest", f"sha1:{hashlib.sha1(payload).hexdigest()}")]
-                name = uuid.uuid5(uuid.NAMESPACE_OID, f"{uri}#{n}").urn
-                if target is None:
-                    out.add(record("response", name, [*fields, ("Content-Type", "application/http; msgtype=response")], HTTP + payload))
-                else:
-                    fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("X-Refers-To-Page-Id", str(target)), ("X-Payload-Length", str(len(payload)))]
-                    out.add(record("revisit", name, [*fields, ("Content-Type", "application/http; msgtype=response")], HTTP))
-                n += 1
-        if out:
-            out.close()
-            yield pa.RecordBatch.from_pydict({"uri": [uri], "n_records": pa.array([n], pa.int64())})
-
-    rows.mapInArrow(run, "uri string, n_records long").write.parquet(f"{folder}/manifest")
+    with workspace(spark):
+        revisits = bounded(materialize(decide(rows, "id", "url", min_bytes).toDF("r_id", "r_digest", "target", "target_url"), "warc-revisits"))
+        same = F.col("id").eqNullSafe(F.col("r_id")) & (_digest(F.encode("html", "utf-8")) == F.col("r_digest"))
+        rows = rows.join(revisits, same, "left").select("id", "url", "html", "target", "target_url")
+
+        def run(batches):
+            out, n = None, 0
+            uri = f"{folder}/part-{TaskContext.get().partitionId():06d}.warc.zst"
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    page, url, html, target, target_url = (batch.column(k)[i].as_py() for k in range(5))
+                    payload = html.encode()
+                    out = out or Writer(uri, date=date)
+                    digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+                    fields = [("WARC-Target-URI", _clean(url)), ("X-Page-Id", "" if page is None else str(page)), ("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "application/http; msgtype=response")]
+                    name = uuid.uuid5(uuid.NAMESPACE_OID, f"{uri}#{n}").urn
+                    if target is None:
+                        out.add(record("response", name, date, fields, HTTP + payload))
+                    else:
+                        fields += [("WARC-Profile", REVISIT), ("WARC-Refers-To-Target-URI", _clean(target_url)), ("WARC-Refers-To-Date", date)]
+                        out.add(record("revisit", name, date, fields, HTTP))
+                    n += 1
+            if out:
+                out.close()
+                yield pa.RecordBatch.from_pydict({"uri": [uri], "n_records": pa.array([n], pa.int64())})
+
+        rows.mapInArrow(run, "uri string, n_records long").write.parquet(f"{folder}/manifest")
     return spark.read.schema("uri string, n_records long").parquet(f"{folder}/manifest")
 
 
 def read_warc(files: DataFrame) -> DataFrame:
     """One row per record read from archives (column uri): page_id, url, payload_bytes, payload_digest, record_type, refers_to.
 
-    A response's digest and length come from the stored payload, a revisit's from its header.
+    A response's digest and length come from the stored payload; a digest in its header that is another is an error. A
+    revisit has the digest of its header, and is resolved by it: length and page are those of the response with this
+    digest and the URI it refers to, null if the archives hold none.
     """
-    ship(files.sparkSession)
+    spark = files.sparkSession
+    ship(spark)
 
     def rows(uri: str) -> Iterator[tuple]:
         for fields, block in read_records(uri):
             if (kind := fields["WARC-Type"]) == "warcinfo":
                 continue
             page = int(fields["X-Page-Id"]) if fields["X-Page-Id"] else None
+            digest = base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
             if kind == "response":
                 payload = block.partition(b"\r\n\r\n")[2]
-                yield page, fields["WARC-Target-URI"], len(payload), hashlib.sha1(payload).hexdigest(), kind, None
+                if hashlib.sha1(payload).hexdigest() != digest:
+                    raise ValueError(f"{uri}: the payload of {fields['WARC-Record-ID']} isn't what its digest says")
+                yield page, fields["WARC-Target-URI"], len(payload), digest, kind, None
             else:
-                yield page, fields["WARC-Target-URI"], int(fields["X-Payload-Length"]), fields["WARC-Payload-Digest"].removeprefix("sha1:"), kind, int(fields["X-Refers-To-Page-Id"])
+                yield page, fields["WARC-Target-URI"], None, digest, kind, fields["WARC-Refers-To-Target-URI"]
 
-    kinds = {"page_id": pa.int64(), "url": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64()}
+    kinds = {"page_id": pa.int64(), "url": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to_url": pa.string()}
 
     def run(batches):
         for batch in batches:
@@ -198,8 +223,18 @@ def read_warc(files: DataFrame) -> DataFrame:
     def pack(some: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*some), kinds.values())], names=list(kinds))
 
-    dealt = files.select("uri").repartition(partitions(files.sparkSession), "uri")
-    return dealt.mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    dealt = files.select("uri").repartition(partitions(spark), "uri")
+    with workspace(spark):
+        found = materialize(dealt.mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to_url string"), "warc-rows", keep=True)
+        revisits, responses = found.filter("record_type = 'revisit'").drop("payload_bytes"), found.filter("record_type = 'response'")
+        wanted = materialize(revisits.groupBy("payload_digest").agg(F.count("*").alias("w")), "warc-wanted")
+        named = responses.join(bounded(wanted), "payload_digest").groupBy("payload_digest", F.col("url").alias("named_url")).agg(F.max("page_id").alias("refers_to"), F.max("payload_bytes").alias("payload_bytes"), F.max("w").alias("w"))
+        named = materialize(named.groupBy("payload_digest", "w").agg(F.max_by(F.struct("named_url", "refers_to", "payload_bytes"), F.coalesce("refers_to", F.lit(-(1 << 63)))).alias("x")), "warc-named", keep=True)
+        total = wanted.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
+    solved = dealt_join(revisits, named, "payload_digest", "w", total, "left")
+    there = F.col("x.named_url") == F.col("refers_to_url")
+    revisits = solved.select("page_id", "url", F.when(there, F.col("x.payload_bytes")).alias("payload_bytes"), "payload_digest", "record_type", F.when(there, F.col("x.refers_to")).alias("refers_to"))
+    return responses.select("page_id", "url", "payload_bytes", "payload_digest", "record_type", F.lit(None).cast("long").alias("refers_to")).union(revisits)
 
 
 def op4_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
