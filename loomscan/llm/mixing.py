@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, small_enough, table
+from .common import WORD, bounded, file_count, materialize, table, workspace
 
 KEY_BITS, BUCKET_BITS = 60, 12
 BINS = 65_536  # of one unit of virtual time
-BROADCAST_ROWS = 1_000_000
 
 
 def word_count(text: Column) -> Column:
@@ -42,7 +41,7 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = (5, 2, 1), sha
 
 
 def _finish_times(rows: DataFrame, sources: DataFrame, copies: int) -> DataFrame:
-    """Adds source_size, target, rank and finish (the virtual finish time of each copy) to id, source, size, key.
+    """Adds source_size, target, rank and finish (the virtual finish time of each copy) to row_id, id, source, size, key.
 
     A source's running sum is taken in two levels, by buckets of the random key, so a hot source meets in no one task.
     """
@@ -55,25 +54,20 @@ def _finish_times(rows: DataFrame, sources: DataFrame, copies: int) -> DataFrame
     in_bucket = Window.partitionBy("source", "bucket").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
     through = F.col("before") + F.sum("size").over(in_bucket)
     finish = [F.when(F.col("target") > 0, (through + F.col("source_size") * c).cast("double") / F.col("target")) for c in range(copies)]
-    return joined.withColumn("finish", F.array(*finish)).select("id", "source", "size", "key", "source_size", "target", "rank", "finish")
+    return joined.withColumn("finish", F.array(*finish)).select("row_id", "id", "source", "size", "key", "source_size", "target", "rank", "finish")
 
 
-def fair_queue_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, seed: str = "mix") -> DataFrame:
-    """Mix of all documents: id, size, source_size, target, taken, copies, finish (times of its copies), source_name.
+def _numbered(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str, carry: bool) -> DataFrame:
+    """A table of row_id, id, source, size and key, and with carry the row itself; numbers are fixed by writing it."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), shuffle_key(F.col(id_col), seed).alias("key"), *([F.struct("*").alias("row")] if carry else []))
+    return materialize(rows.withColumn("row_id", F.monotonically_increasing_id()), "mix-rows")
 
-    Each source is shuffled by a hash of the id and repeats up to `most` times. The virtual finish time of a copy is
-    the words of its source up to and with it, divided by the source's target; all copies are taken in the order of
-    finish time (ties: source, hash, id) while the words taken stay within `share` times all words. The cut is found
-    from the sums of fine bins of finish time and then exactly in the bin where the budget ends, so nothing is sorted
-    in one task and reruns agree. orderBy(finish) of the taken copies is the mix's order.
 
-    Null or blank texts have size 0 and are taken 0 words; null sources are one source, the last; rows that repeat an
-    id each count; an empty table gives no rows. Other columns are ignored.
-    """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), shuffle_key(F.col(id_col), seed).alias("key"))
-    rows = materialize(rows, "mix-rows")
+def _mixed(rows: DataFrame, weights: tuple[int, ...], share: float, most: int, keep: bool) -> DataFrame:
+    """A table of _finish_times with copies, the number of each row's copies that the mix takes."""
+    rows = rows.select("row_id", "id", "source", "size", "key")
     sources = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, float(most))
-    timed = materialize(_finish_times(rows, sources, most), "mix-times")
+    timed = materialize(_finish_times(rows, sources, most), "mix-times", keep)
     copies = timed.select("id", "size", "key", "rank", F.posexplode("finish").alias("copy", "at")).filter("at is not null and size > 0")
     copies = copies.withColumn("bin", F.least(F.floor(F.col("at") * BINS), F.lit(2 * BINS)))
     budget = F.floor(F.lit(share) * F.lit(rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]))
@@ -92,21 +86,40 @@ def fair_queue_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             edge = F.struct(*[F.lit(last[c]).cast(copies.schema[c].dataType).alias(c) for c in order])
             within = lambda f: F.struct(f.alias("at"), *[F.col(c) for c in order[1:]]) <= edge
         taken = F.size(F.filter("finish", lambda f: f.isNotNull() & within(f)))
-    out = timed.withColumn("copies", F.when(F.col("size") > 0, taken).otherwise(0))
+    return timed.withColumn("copies", F.when(F.col("size") > 0, taken).otherwise(0))
+
+
+def fair_queue_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, seed: str = "mix") -> DataFrame:
+    """Mix of all documents: id, size, source_size, target, taken, copies, finish (times of its copies), source_name.
+
+    Each source is shuffled by a hash of the id and repeats up to `most` times. The virtual finish time of a copy is
+    the words of its source up to and with it, divided by the source's target; all copies are taken in the order of
+    finish time (ties: source, hash, id) while the words taken stay within `share` times all words. The cut is found
+    from the sums of fine bins of finish time and then exactly in the bin where the budget ends, so nothing is sorted
+    in one task and reruns agree. repeat_mixed gives the mix itself, in that order.
+
+    Null or blank texts have size 0 and are taken 0 words; null sources are one source, the last; rows that repeat an
+    id each count; an empty table gives no rows. Other columns are ignored.
+    """
+    with workspace(docs.sparkSession):
+        out = _mixed(_numbered(docs, id_col, text_col, source_col, seed, False), weights, share, most, True)
     return out.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "finish", F.col("source").alias("source_name"))
 
 
-def repeat_mixed(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mix, each repeated as often as it is taken, with the columns of docs.
+def repeat_mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, seed: str = "mix") -> DataFrame:
+    """The mix: rows of docs, each as often as it is taken, range-sorted by the finish times of the copies.
 
-    Rows that are equal in id, source and size are taken alike (the most copies of any of them).
+    Each row has copies of its own, whatever its id; the columns are those of docs. Written as files, part numbers and
+    places in them keep the order (see tokens.stored_order).
     """
-    mixed = fair_queue_mix(docs, **options).filter("copies > 0").groupBy("doc_id", "source_name", "size").agg(F.max("copies").alias("copies"))
-    mixed = materialize(mixed.select(*[F.col(c).alias(f"_loomscan_{k}") for k, c in enumerate(mixed.columns)]), "mix")
-    mixed = F.broadcast(mixed) if small_enough(mixed, BROADCAST_ROWS) else mixed
-    match = F.col("doc_id").cast("long").eqNullSafe(F.col("_loomscan_0")) & F.col("source").eqNullSafe(F.col("_loomscan_1")) & (word_count(F.col("text")) == F.col("_loomscan_2"))
-    joined = docs.join(mixed, match).withColumn("_loomscan_4", F.explode(F.sequence(F.lit(1), F.col("_loomscan_3"))))
-    return joined.select(*docs.columns)
+    spark = docs.sparkSession
+    rows = _numbered(docs, id_col, text_col, source_col, seed, True)
+    with workspace(spark):
+        copies = _mixed(rows, weights, share, most, False).filter("copies > 0").select("row_id", "rank", "key", F.posexplode(F.slice("finish", F.lit(1), F.col("copies"))).alias("copy", "at"))
+        copies = materialize(copies, "mix-copies", keep=True)
+    order = ("at", "rank", "key", "row_id", "copy")
+    mix = rows.select("row_id", "row").join(bounded(copies), "row_id")
+    return mix.repartitionByRange(file_count(rows), *order).sortWithinPartitions(*order).select("row.*")
 
 
 def op7_fair_queue_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
