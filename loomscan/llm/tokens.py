@@ -12,11 +12,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import AtomicFile, open_fs, partitions, scratch, ship, table
+from .common import AtomicFile, file_count, open_fs, partitions, scratch, ship, table
 
 SLICE = 512  # rows turned into Python objects at once
 CACHE = 300_000  # words whose counts a worker keeps
@@ -45,6 +47,21 @@ def load_tokenizer(name: str):
 # --- operator 2: overlap resynchronisation -----------------------------------------------------------------------
 
 
+def drops_space(tok) -> bool:
+    """Whether white space surely parts what a tokenizer encodes and is dropped: by the kinds of its steps."""
+    steps = json.loads(tok.to_str())
+    first, norm = steps["pre_tokenizer"] or {}, steps["normalizer"] or {"type": "Sequence", "normalizers": []}
+    if first.get("type") == "Sequence":
+        first = first["pretokenizers"][0]
+    for n in norm["normalizers"] if norm["type"] == "Sequence" else [norm]:
+        if n["type"] not in ("NFC", "NFKC", "Lowercase") and (n["type"], n.get("pattern"), n.get("content")) != ("Replace", {"Regex": r"\s+"}, " "):
+            return False
+    if first.get("type") == "Split":
+        pattern = first["pattern"].get("Regex", "\\s")
+        return first["behavior"] == "Removed" and first["invert"] and not any(regex.search(pattern, c) for c in " \t\n\r\x0b\x0c")
+    return first.get("type") in ("Whitespace", "WhitespaceSplit", "BertPreTokenizer")
+
+
 def _stable(text: str, p: int) -> bool:
     """A word starts at p behind ASCII white space.
 
@@ -109,8 +126,13 @@ def _slices(batch: pa.RecordBatch, *names: str) -> Iterator[list[list]]:
 
 
 def token_counter(tokenizer: str, chunk: int, overlap: int):
-    """A function from texts to token counts. Words between ASCII white space are counted once and cached."""
+    """A function from texts to token counts. Words between ASCII white space are counted once and cached.
+
+    For tokenizers to which white space matters, each text is encoded whole.
+    """
     tok, cache = load_tokenizer(tokenizer), _counts.setdefault(tokenizer, {})
+    if not drops_space(tok):
+        return lambda texts: [len(tok.encode(t, add_special_tokens=False).ids) for t in texts]
 
     def count(texts: list[str]) -> list[int]:
         if len(cache) > CACHE:
@@ -133,8 +155,8 @@ def token_counter(tokenizer: str, chunk: int, overlap: int):
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "word_bpe_49k.json", limit: int = 2048, chunk: int = 32_768, overlap: int = 512) -> DataFrame:
     """Exact token counts of whole texts: id, n_bytes, n_tokens, over_limit, n_chars.
 
-    The tokenizer must drop white space, as word_bpe_49k.json does. Texts of up to `chunk` characters are counted by
-    words, longer ones in overlapping chunks that are spliced (encode_spliced). One pass, no shuffle. Null texts count
+    With a tokenizer that drops white space, as word_bpe_49k.json does, texts of up to `chunk` characters are counted by
+    words, longer ones in overlapping chunks that are spliced (encode_spliced); with others, texts are encoded whole. One pass, no shuffle. Null texts count
     as empty (0 tokens); rows repeat as they do in the input; other columns are ignored.
     """
     ship(docs.sparkSession)
@@ -238,16 +260,16 @@ def id_encoder(tokenizer: str):
 class StreamFile:
     """Writes ids to an Arrow file of fixed-size lists: seq_len ids and seq_len mask bits a row.
 
-    The last row is padded with `pad`, its mask is 0 there. The file format has a footer, so any batch, and in it any
-    sequence, can be mapped and read without a copy. A second file `.docs.arrow` has id, offset and n_tokens of each
-    document in the stream.
+    The last row is padded with `pad`, its mask is 0 there. All batches but the last have batch_rows rows and the format
+    has a footer, so any sequence can be mapped and read without a copy (SequenceFile). A second file `.docs.arrow` has
+    id, offset and n_tokens of each document in the stream.
     """
 
     def __init__(self, uri: str, seq_len: int, wide: bool, pad: int = 0, batch_rows: int = 256):
         self.kind = pa.uint32() if wide else pa.uint16()
         self.dtype, self.seq_len, self.pad, self.batch_rows = ("<u4" if wide else "<u2"), seq_len, pad, batch_rows
         self.files = [AtomicFile(uri), AtomicFile(f"{uri}.docs.arrow")]
-        self.schema = pa.schema([("ids", pa.list_(self.kind, seq_len)), ("mask", pa.list_(pa.bool_(), seq_len))], {"seq_len": str(seq_len)})
+        self.schema = pa.schema([("ids", pa.list_(self.kind, seq_len)), ("mask", pa.list_(pa.bool_(), seq_len))], {"seq_len": str(seq_len), "batch_rows": str(batch_rows)})
         self.docs_schema = pa.schema([("id", pa.int64()), ("offset", pa.int64()), ("n_tokens", pa.int64())])
         self.writer = pa.ipc.new_file(self.files[0].out, self.schema)
         self.docs_writer = pa.ipc.new_file(self.files[1].out, self.docs_schema)
@@ -265,7 +287,7 @@ class StreamFile:
 
     def _flush(self, last: bool) -> None:
         ids = np.concatenate(self.held) if self.held else np.empty(0, self.dtype)
-        rows = -(-len(ids) // self.seq_len) if last else len(ids) // self.seq_len
+        rows = -(-len(ids) // self.seq_len) if last else len(ids) // (self.seq_len * self.batch_rows) * self.batch_rows
         size = rows * self.seq_len
         self.held = [] if last else [ids[size:]]
         mask = np.ones(size, bool)
@@ -288,22 +310,53 @@ class StreamFile:
             f.commit()
 
 
-def read_sequences(uri: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, mask) of each batch of a stream file, as flat arrays; ids without a copy where the store can be mapped."""
+def _opened(uri: str) -> pa.NativeFile:
+    """An Arrow file, mapped into memory where it is local."""
     fs, path = open_fs(uri)
-    with fs.open_input_file(path) as f:
+    return pa.memory_map(path) if fs.type_name == "local" else fs.open_input_file(path)
+
+
+class SequenceFile:
+    """Random access to the sequences of a stream file; on local files without a copy: arrays are views of the mapping."""
+
+    def __init__(self, uri: str):
+        self.file = _opened(uri)
+        self.reader = pa.ipc.open_file(self.file)
+        self.seq_len, self.batch_rows = (int(self.reader.schema.metadata[k]) for k in (b"seq_len", b"batch_rows"))
+        batches = self.reader.num_record_batches
+        self.rows = (batches - 1) * self.batch_rows + self.reader.get_batch(batches - 1).num_rows if batches else 0
+
+    def __len__(self) -> int:
+        return self.rows
+
+    def __enter__(self) -> SequenceFile:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.file.close()
+
+    def __getitem__(self, k: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """(ids, mask) of sequence k; the mask is bits, so it stays an Arrow array."""
+        if not 0 <= k < self.rows:
+            raise IndexError(k)
+        batch, at = self.reader.get_batch(k // self.batch_rows), k % self.batch_rows * self.seq_len
+        ids, mask = (batch.column(c).values.slice(at, self.seq_len) for c in (0, 1))
+        return ids.to_numpy(), mask
+
+
+def read_ids(uri: str) -> Iterator[np.ndarray]:
+    """Ids of each batch of a stream file, with the padding, as flat arrays."""
+    with _opened(uri) as f:
         reader = pa.ipc.open_file(f)
         for k in range(reader.num_record_batches):
-            b = reader.get_batch(k)
-            yield b.column(0).flatten().to_numpy(), b.column(1).flatten().to_numpy(zero_copy_only=False)
+            yield reader.get_batch(k).column(0).values.to_numpy()
 
 
 def read_documents(uri: str) -> Iterator[tuple[int | None, int, int, int]]:
     """(id, offset in the file's stream, n_tokens, crc32 of the ids) of each document, from the file's sequences."""
-    fs, path = open_fs(f"{uri}.docs.arrow")
-    ids = (x[m].astype("<u4") for x, m in read_sequences(uri))
+    ids = (x.astype("<u4") for x in read_ids(uri))
     now, at = np.empty(0, "<u4"), 0
-    with fs.open_input_file(path) as f:
+    with _opened(f"{uri}.docs.arrow") as f:
         reader = pa.ipc.open_file(f)
         for k in range(reader.num_record_batches):
             for d, offset, n in zip(*(c.to_pylist() for c in reader.get_batch(k).columns)):
@@ -316,12 +369,24 @@ def read_documents(uri: str) -> Iterator[tuple[int | None, int, int, int]]:
                 yield d, offset, n, crc
 
 
-def write_token_stream(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k.json", end_id: int = 2, seq_len: int = 1024) -> DataFrame:
+def stored_order(docs: DataFrame) -> list[Column]:
+    """Columns that order a table of part files as it was written; none where docs isn't read from files."""
+    try:
+        meta = docs.metadataColumn("_metadata")
+        order = [F.regexp_extract(meta["file_name"], r"part-(\d+)", 1).cast("long"), meta["file_name"], meta["row_index"]]
+        docs.select(*order).schema
+        return order
+    except AnalysisException:
+        return []
+
+
+def write_token_stream(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k.json", end_id: int = 2, seq_len: int = 1024, order: list[Column] | None = None) -> DataFrame:
     """Encode whole texts, append end_id to each, and write all ids in ascending order of id; returns the files.
 
-    Documents are dealt by ranges of id, so file k holds the k-th range and the concatenated files are one stream in
-    order. Result: part, uri, n_docs, n_ids, and start (ids in the files before). Null ids come first, null texts are
-    empty (just the end id), rows with equal ids are ordered by a hash of the text. An empty table gives no rows.
+    Documents are dealt by ranges, so file k holds the k-th range and the concatenated files are one stream in order;
+    there is a file for 32 MB of the table. Result: part, uri, n_docs, n_ids, and start (ids in the files before). Null
+    ids come first, null texts are empty (just the end id), rows with equal ids are ordered by a hash of the text. With
+    `order`, the stream follows these columns of docs instead. An empty table gives no rows.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -341,9 +406,11 @@ def write_token_stream(docs: DataFrame, folder: str, id_col: str = "doc_id", tex
             out.close()
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "uri": [uri], "n_docs": pa.array([n], pa.int64()), "n_ids": pa.array([out.n_ids], pa.int64())})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    ranged = rows.repartitionByRange(partitions(spark), "id").sortWithinPartitions("id", F.xxhash64("text"))
-    files = ranged.mapInArrow(run, "part int, uri string, n_docs long, n_ids long")
+    order = order or [F.col(id_col).cast("long")]
+    names = [f"o{k}" for k in range(len(order))]
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *[c.alias(n) for c, n in zip(order, names)])
+    ranged = rows.repartitionByRange(file_count(docs), *names).sortWithinPartitions(*names, "id", F.xxhash64("text"))
+    files = ranged.select("id", "text").mapInArrow(run, "part int, uri string, n_docs long, n_ids long")
     files.write.parquet(manifest := f"{folder}/manifest")
     files = spark.read.schema(files.schema).parquet(manifest)  # one row a file
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -374,9 +441,9 @@ def _stream_rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({n: pa.array(x, pa.int32() if n == "part" else pa.int64()) for n, x in zip(names, zip(*rows))})
 
 
-def token_stream(docs: DataFrame) -> DataFrame:
+def token_stream(docs: DataFrame, order: list[Column] | None = None) -> DataFrame:
     """Write documents as a token stream in shared storage and read it back, one row per document."""
-    return read_token_stream(write_token_stream(docs, scratch(docs.sparkSession, "tokens")))
+    return read_token_stream(write_token_stream(docs, scratch(docs.sparkSession, "tokens"), order=order))
 
 
 def op9_token_stream_file(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,9 +6,10 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from loomscan.llm.common import open_fs
-from loomscan.llm.tokens import count_tokens, encode_spliced, id_encoder, load_tokenizer, op2_token_counts, op9_token_stream_file, read_token_stream, token_counter, write_token_stream
+from loomscan.llm.tokens import SequenceFile, StreamFile, count_tokens, drops_space, encode_spliced, id_encoder, load_tokenizer, op2_token_counts, op9_token_stream_file, read_token_stream, token_counter, write_token_stream
 
 from helpers import SMALL
 
@@ -91,13 +92,32 @@ def test_files_hold_equal_sequences(spark, make_docs, tmp_path, seq_len):
     assert [r["doc_id"] for r in back] == list(range(41))
 
 
-def test_batches_can_be_read_at_random(tmp_path):
-    from loomscan.llm.tokens import StreamFile
-
+def test_sequences_are_read_at_random_without_a_copy(tmp_path):
     f = StreamFile(f"file://{tmp_path}/x.arrow", 4, False, batch_rows=2)
-    f.add(1, np.arange(30, dtype="<u4"))
+    for k in range(0, 30, 3):
+        f.add(k, np.arange(k, k + 3, dtype="<u4"))
     f.close()
-    with pa.memory_map(f"{tmp_path}/x.arrow") as source:
+    with SequenceFile(f"file://{tmp_path}/x.arrow") as got:
         before = pa.total_allocated_bytes()
-        batch = pa.ipc.open_file(source).get_batch(2)
-        assert batch.column(0).flatten().to_pylist() == list(range(16, 24)) and pa.total_allocated_bytes() - before < 4096
+        assert len(got) == 8
+        for k in (7, 0, 5, 3):
+            ids, mask = got[k]
+            assert ids.tolist() == [x if x < 30 else 0 for x in range(4 * k, 4 * k + 4)] and not ids.flags.owndata
+            assert mask.to_pylist() == [x < 30 for x in range(4 * k, 4 * k + 4)]
+        assert pa.total_allocated_bytes() - before < 4096
+        with pytest.raises(IndexError):
+            got[8]
+        del ids, mask
+
+
+def test_tokenizers_that_keep_white_space_count_whole_texts():
+    assert drops_space(load_tokenizer(WORDS)) and not drops_space(load_tokenizer(BYTES))
+    texts = ["a  b\n\nc", " x ", "", "one two " * 30]
+    assert token_counter(BYTES, 8, 2)(texts) == [len(ids(BYTES, t)) for t in texts]
+
+
+def test_stream_follows_an_order(spark, make_docs, tmp_path):
+    docs = make_docs([(k, "w " * (k % 5)) for k in range(50)])
+    files = write_token_stream(docs, f"file://{tmp_path}/o", order=[F.col("doc_id") % 7, -F.col("doc_id")])
+    back = read_token_stream(files).orderBy("start").collect()
+    assert [r["doc_id"] for r in back] == sorted(range(50), key=lambda k: (k % 7, -k))
