@@ -1,5 +1,7 @@
 """Every operator on nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,8 +74,10 @@ def test_documents(make_docs, edge_rows, with_clashes, name):
     rows = told(plain, plain.columns)
     if not name.startswith(("keep", "repeat")):
         assert len(rows) == docs.count()
-    if name != "stream":
-        assert told(f(with_clashes(docs)), plain.columns) == rows
+    else:  # rows of the input, each by itself: never one that isn't there, nor more often than allowed
+        mine, theirs = Counter(rows), Counter(told(docs, plain.columns))
+        assert all(n <= (2 if name == "repeat_mixed" else 1) * theirs[r] for r, n in mine.items())
+    assert told(f(with_clashes(docs)), plain.columns) == rows
     assert f(docs.limit(0)).count() == 0
 
 

@@ -63,13 +63,16 @@ def test_mixing(steps):
 
 
 def test_token_output(steps):
+    """The stream has the mix's order, which is that of its files and of the rows in them."""
     tok = load_tokenizer("byte_bpe_50k.json")
     at, wanted = 0, []
-    for (i, t), n in sorted(rows(steps[4]).items()):
-        for _ in range(n):
-            x = np.asarray([*tok.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
-            wanted.append((i, at, len(x), zlib.crc32(x.tobytes())))
-            at += len(x)
+    stored = steps[4].select("doc_id", "text", "_metadata.file_name", "_metadata.row_index").orderBy("file_name", "row_index").collect()
+    assert [r["doc_id"] for r in stored] != sorted(r["doc_id"] for r in stored)
+    for r in stored:
+        x = np.asarray([*tok.encode(r["text"] or "", add_special_tokens=False).ids, 2], "<u4")
+        wanted.append((r["doc_id"], at, len(x), zlib.crc32(x.tobytes())))
+        at += len(x)
+    wanted.sort()
     assert sorted(tuple(r) for r in steps[5].select("doc_id", "start", "n_tokens", "ids_crc32").collect()) == wanted
 
 
