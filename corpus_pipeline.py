@@ -9,7 +9,7 @@ from loomscan.llm.decontaminate import drop_contaminated
 from loomscan.llm.mixing import repeat_mixed
 from loomscan.llm.neardup import keep_one
 from loomscan.llm.quality import keep_good
-from loomscan.llm.tokens import token_stream
+from loomscan.llm.tokens import stored_order, token_stream
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,13 +28,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them, sorted by finish time over all files."""
     return repeat_mixed(docs)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of the mix, read back: one row per document of it."""
-    return token_stream(docs)
+    """Token files in the mix's order, that of the stored documents, read back: one row per document of it."""
+    return token_stream(docs, stored_order(docs))
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mixing), ("token_output", token_output)]
