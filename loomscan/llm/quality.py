@@ -9,8 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructField, StructType
 
-from .common import materialize, ship, small_enough, table
+from .common import bounded, materialize, ship, table, workspace
 
 #: Frequent function words of four languages; their shares, and the share of all other words, are the word histogram.
 COMMON = tuple(
@@ -68,20 +69,27 @@ def measure(text: str) -> tuple[int, int, int, int, int, list[int], list[int]]:
     return len(words), len(text) - sum(map(text.count, BLANK)), int(counts[_SYMBOLS].sum()), len(lines) - len(set(lines)), repeated_words(words), classes, common
 
 
-def _measured(docs: DataFrame) -> DataFrame:
-    """id, lang, text in; id, lang, counts, base_failed and the two histograms out. One pass, no shuffle."""
-    fields = [("id", pa.int64()), ("lang", pa.string()), *((n, pa.int64()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), ("base_failed", pa.bool_()), ("classes", pa.list_(pa.int32())), ("common", pa.list_(pa.int32()))]
+_SPARK = {pa.int64(): LongType(), pa.bool_(): BooleanType(), pa.list_(pa.int32()): ArrayType(IntegerType())}
+_FIELDS = [*((n, pa.int64()) for n in ("n_words", "n_chars", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), ("base_failed", pa.bool_()), ("classes", pa.list_(pa.int32())), ("common", pa.list_(pa.int32()))]
+
+
+def _measured(rows: DataFrame) -> DataFrame:
+    """Any columns and _text in; all but _text, counts, base_failed and the two histograms out. One pass, no shuffle."""
+    carried = [f for f in rows.schema.fields if f.name != "_text"]
 
     def run(batches):
         for batch in batches:
             for k in range(0, batch.num_rows, SLICE):
-                ids, langs, texts = (c.to_pylist() for c in batch.slice(k, SLICE).columns)
-                rows = [measure(t or "") for t in texts]
+                part = batch.slice(k, SLICE)
+                texts = [t or "" for t in part.column(part.schema.get_field_index("_text")).to_pylist()]
+                rows = [measure(t) for t in texts]
                 failed = [r[0] < 10 or 100 * r[4] > 20 * r[0] for r in rows]
-                columns = [ids, langs, *([r[j] for r in rows] for j in range(5)), failed, [r[5] for r in rows], [r[6] for r in rows]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields)], names=[n for n, _ in fields])
+                columns = [[r[0] for r in rows], list(map(len, texts)), *([r[j] for r in rows] for j in range(1, 5)), failed, [r[5] for r in rows], [r[6] for r in rows]]
+                made = [pa.array(c, t) for c, (_, t) in zip(columns, _FIELDS)]
+                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(f.name)) for f in carried), *made], names=[f.name for f in carried] + [n for n, _ in _FIELDS])
 
-    return docs.mapInArrow(run, "id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, classes array<int>, common array<int>")
+    schema = StructType([*carried, *(StructField(n, _SPARK[t]) for n, t in _FIELDS)])
+    return rows.mapInArrow(run, schema)
 
 
 def references(measured: DataFrame, min_words: int) -> DataFrame:
@@ -120,48 +128,66 @@ def references(measured: DataFrame, min_words: int) -> DataFrame:
     return out.filter(F.col("ref_words") >= min_words).drop("ref_words")
 
 
-def js_distance(a: Column, b: Column) -> Column:
-    """Jensen-Shannon distance (square root of the divergence in bits) of two histograms, rounded to 6 places."""
-    total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v.cast("double"))
+def language_references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_words: int = 2000) -> DataFrame:
+    """References for judge_quality from documents that are known to be good: lang, ref_classes, ref_common."""
+    ship(docs.sparkSession)
+    return references(_measured(docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("_text"))), min_words)
+
+
+def js_distance(a: Column, n_a: Column, b: Column, n_b: Column) -> Column:
+    """Jensen-Shannon distance (square root of the divergence in bits) of two histograms, rounded to 6 places.
+
+    n_a and n_b are the histograms' sums, given as columns: a sum inside the lambda would be made anew for each element.
+    """
 
     def half(x: Column, m: Column) -> Column:
         return F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
 
-    parts = F.zip_with(F.transform(a, lambda v: v / total(a)), F.transform(b, lambda v: v / total(b)), lambda p, q: (half(p, (p + q) / 2) + half(q, (p + q) / 2)) / 2)
+    parts = F.zip_with(F.transform(a, lambda v: v / n_a), F.transform(b, lambda v: v / n_b), lambda p, q: (half(p, (p + q) / 2) + half(q, (p + q) / 2)) / 2)
     return F.round(F.sqrt(F.greatest(F.aggregate(parts, F.lit(0.0), lambda s, v: s + v), F.lit(0.0))), 6)
 
 
-def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_words: int = 50, min_reference_words: int = 2000, class_limit: tuple[float, float] = (0.2, 1.0), word_limit: tuple[float, float] = (0.22, 1.4)) -> DataFrame:
+def _judged(measured: DataFrame, refs: DataFrame | None, min_words: int, min_reference_words: int, class_limit: tuple[float, float], word_limit: tuple[float, float]) -> DataFrame:
+    """measured, a table, with js_classes, js_common and kept."""
+    refs = references(measured, min_reference_words) if refs is None else refs.select("lang", "ref_classes", "ref_common")
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, v: s + v)
+    refs = refs.select(F.col("lang").alias("ref_lang"), *[f(F.col(f"ref_{c}")).alias(n) for c in ("classes", "common") for f, n in ((lambda x: x, f"ref_{c}"), (total, f"ref_n_{c}"))])
+    refs = bounded(materialize(refs, "quality-refs", keep=True))  # the sums are columns of a table: nothing computes them again
+    x = measured.join(refs, (F.col("lang") == F.col("ref_lang")) & (F.col("n_words") >= min_words), "left")
+    for c, n in (("classes", "n_chars"), ("common", "n_words")):
+        x = x.withColumn(f"js_{c}", F.when(F.col("ref_lang").isNotNull(), js_distance(F.col(c), F.col(n), F.col(f"ref_{c}"), F.col(f"ref_n_{c}"))))
+    over = [F.coalesce(F.col(f"js_{c}") > a + b / F.sqrt("n_words"), F.lit(False)) for c, (a, b) in (("classes", class_limit), ("common", word_limit))]
+    return x.withColumn("kept", ~F.col("base_failed") & ~over[0] & ~over[1])
+
+
+def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", references: DataFrame | None = None, min_words: int = 50, min_reference_words: int = 2000, class_limit: tuple[float, float] = (0.2, 1.0), word_limit: tuple[float, float] = (0.22, 1.4)) -> DataFrame:
     """Base counts and verdict of each document: id, counts, base_failed, kept, js_classes, js_words.
 
-    A document's histograms of character classes and of common words are held against those of all documents of its
-    language that pass the base rules. It is rejected if a Jensen-Shannon distance is over a + b / sqrt(n_words), with
-    (a, b) from class_limit and word_limit: the second part allows for the noise of short texts. Documents of fewer
-    than min_words words, and those without a language or whose language has fewer than min_reference_words words,
-    aren't judged by distance (js columns null); they are kept unless the base rules fail.
+    A document's histograms of character classes and of common words are held against its language's reference: that of
+    a table `references` (lang, ref_classes, ref_common, as language_references makes it of good documents), or, without
+    one, of all documents of the language that pass the base rules. It is rejected if a Jensen-Shannon distance is over
+    a + b / sqrt(n_words), with (a, b) from class_limit and word_limit: the second part allows for the noise of short
+    texts. Documents of fewer than min_words words, and those without a language or a reference, aren't judged by
+    distance (js columns null); they are kept unless the base rules fail. A corpus-made reference takes
+    min_reference_words words of the language.
 
     Null texts have no words, so they fail. Rows that repeat are judged alike; an empty table gives no rows; other
     columns are ignored.
     """
     ship(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    measured = materialize(_measured(rows), "quality")
-    refs = materialize(references(measured, min_reference_words).withColumnRenamed("lang", "ref_lang"), "quality-refs")
-    refs = F.broadcast(refs) if small_enough(refs, 2000) else refs
-    x = measured.join(refs, (F.col("lang") == F.col("ref_lang")) & (F.col("n_words") >= min_words), "left")
-    for c in ("classes", "common"):
-        x = x.withColumn(f"js_{c}", F.when(F.col("ref_lang").isNotNull(), js_distance(F.col(c), F.col(f"ref_{c}"))))
-    over = [F.coalesce(F.col(f"js_{c}") > a + b / F.sqrt("n_words"), F.lit(False)) for c, (a, b) in (("classes", class_limit), ("common", word_limit))]
-    x = x.withColumn("kept", ~F.col("base_failed") & ~over[0] & ~over[1])
+    with workspace(docs.sparkSession):
+        rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("_text"))
+        measured = materialize(_measured(rows), "quality", keep=True)
+        x = _judged(measured, references, min_words, min_reference_words, class_limit, word_limit)
     return x.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "js_classes", F.col("js_common").alias("js_words"))
 
 
-def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that judge_quality keeps, with their columns; equal ids share a verdict (kept if any is)."""
-    kept = judge_quality(docs).filter("kept").select(F.col("doc_id").alias("_loomscan_kept")).distinct()
-    kept = materialize(kept, "quality-kept")
-    kept = F.broadcast(kept) if small_enough(kept, 1_000_000) else kept
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_loomscan_kept")), "left_semi")
+def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", references: DataFrame | None = None, min_words: int = 50, min_reference_words: int = 2000, class_limit: tuple[float, float] = (0.2, 1.0), word_limit: tuple[float, float] = (0.22, 1.4)) -> DataFrame:
+    """The rows that judge_quality keeps, with their columns; each row has its own verdict, whatever its id."""
+    ship(docs.sparkSession)
+    rows = docs.select(F.struct("*").alias("row"), F.col(lang_col).alias("lang"), F.col(text_col).alias("_text"))
+    measured = materialize(_measured(rows), "quality-rows")
+    return _judged(measured, references, min_words, min_reference_words, class_limit, word_limit).filter("kept").select("row.*")
 
 
 def op1_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
