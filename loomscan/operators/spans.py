@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,23 +13,45 @@ from ..workers import ship
 
 #: Stands between texts that don't touch; private-use characters that no metric pattern names.
 EDGE = "\ue000\ue001"
+BATCH = 2_000_000
+
+
+_SPAN = pa.struct([("kind", pa.int32()), ("begin", pa.int32()), ("end", pa.int32()), ("text", pa.string())])
+_TYPES = {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows of schema.REGIONS as Arrow columns; spans, the last of them, as flat arrays with offsets."""
+    *plain, spans = zip(*rows)
+    kinds = [x.split() for x in REGIONS.split(", spans")[0].split(", ")]
+    flat = list(zip(*(s.values() for x in spans for s in x))) or [[]] * 4
+    offsets = np.cumsum([0, *map(len, spans)], dtype=np.int32)
+    values = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(flat, _SPAN)], fields=list(_SPAN))
+    arrays = [pa.array(c, _TYPES[t]) for c, (_, t) in zip(plain, kinds)]
+    return pa.RecordBatch.from_arrays([*arrays, pa.ListArray.from_arrays(offsets, values)], names=[*(n for n, _ in kinds), "spans"])
 
 
 def tokenize(files: DataFrame) -> DataFrame:
-    """Rows of schema.REGIONS of files (path, lang, text); the only stage with Python workers. Null texts are empty."""
+    """Rows of schema.REGIONS of files (path, lang, text); the only stage with Python workers. Null texts are empty.
+
+    Files go through in Arrow batches, and their rows come back in batches of about BATCH characters of text.
+    """
     ship(files.sparkSession)
-    names = [x.split()[0] for x in REGIONS.split(", ")]
 
     def run(batches):
+        held, size = [], 0
         for batch in batches:
-            for path, lang, text in zip(batch["path"], batch["lang"], batch["text"]):
-                rows = region_rows(path, lang, text or "")
-                out = pd.DataFrame(rows, columns=names)
-                for c in ("region_id", "parent_id", "group_id", "cursor", "procerrors"):
-                    out[c] = out[c].astype("Int32")
-                yield out
-
-    return files.select("path", "lang", "text").mapInPandas(run, REGIONS)
+            for k in range(batch.num_rows):
+                path, lang, text = (batch.column(c)[k].as_py() for c in range(3))
+                held += region_rows(path, lang, text or "")
+                size += len(text or "") + 256
+                if size >= BATCH:
+                    yield _batch(held)
+                    held, size = [], 0
+        if held:
+            yield _batch(held)
+
+    return files.select("path", "lang", "text").mapInArrow(run, REGIONS)
 
 
 def texts(spans: Column, kinds: int = ANY, merge: bool = False) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,29 +32,32 @@ def collect(files: DataFrame, specs: list[MetricSpec] | None = None, prev: Snaps
     """A snapshot of files (path, lang, text, checksum): regions, metrics and suppressions.
 
     With a previous snapshot of the same configuration, only new and modified files are tokenized; rows of unchanged
-    ones are taken over and vanished files are dropped.
+    ones are taken over and vanished files are dropped. Files are tokenized once: the rows are kept on the executors'
+    disks, and made again where an executor is lost, until write() has stored what is derived from them.
     """
     specs = specs if specs is not None else [*builtin(), *REGISTRY.values()]
     fields = fields_of(specs)
     key = hashlib.sha256(f"{config_key(specs)} {mark}".encode()).hexdigest()
     old = prev if prev is not None and prev.properties.get("config") == key else None
     todo, same = reuse(files, old.files) if old else (files, None)
-    tokens = tokenize(todo)
+    tokens = tokenize(todo).persist(StorageLevel.DISK_ONLY)
     regions, facts = measure(tokens, specs)
     muted, _ = suppressions(tokens, fields, mark)
     if old:
         regions = regions.unionByName(old.regions.join(same, "path", "left_semi"))
         facts = facts.unionByName(old.files.join(same, "path", "left_semi"))
         muted = muted.unionByName(old.suppress.join(same, "path", "left_semi"))
-    return Snapshot(facts, regions, fields, muted, {**(properties or {}), "config": key})
+    return Snapshot(facts, regions, fields, muted, {**(properties or {}), "config": key}, tokens)
 
 
 def write(snapshot: Snapshot, path: str) -> None:
-    """Files by tables; tokenizing and measuring run once a table, so persist slow inputs before."""
+    """A folder of Parquet tables; the tokenizer's rows that collect() keeps are dropped afterwards."""
     spark = snapshot.files.sparkSession
     for name in ("files", "regions", "suppress"):
         getattr(snapshot, name).write.mode("overwrite").parquet(f"{path}/{name}")
     spark.createDataFrame(list(snapshot.properties.items()) or [("", "")], "property string, value string").coalesce(1).write.mode("overwrite").parquet(f"{path}/properties")
+    if snapshot.tokens is not None:
+        snapshot.tokens.unpersist()
     said = json.dumps([f.__dict__ for f in snapshot.fields])
     spark.createDataFrame([(said,)], "fields string").coalesce(1).write.mode("overwrite").parquet(f"{path}/fields")
 

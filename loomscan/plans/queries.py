@@ -320,12 +320,13 @@ def file_status(spark, sf_dir):
 
 
 def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = spark.read.parquet(f"{sf_dir}/lineitem.parquet").filter("l_quantity > 10")
+    x = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    begin = 2 * F.col("l_linenumber")  # small quantities leave a gap
     kind = F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "N", 2).otherwise(4)
-    return x.select("l_orderkey", F.col("l_linenumber").alias("begin"), (F.col("l_linenumber") + 1).alias("end"), kind.alias("kind")).distinct()
+    return x.select("l_orderkey", begin.alias("begin"), (begin + F.when(F.col("l_quantity") > 10, 2).otherwise(1)).alias("end"), kind.alias("kind")).distinct()
 
 
-_SPANS = "WITH s AS (SELECT DISTINCT l_orderkey, l_linenumber AS \"begin\", l_linenumber + 1 AS \"end\", CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 4 END AS kind FROM lineitem WHERE l_quantity > 10)"
+_SPANS = "WITH s AS (SELECT DISTINCT l_orderkey, 2 * l_linenumber AS \"begin\", 2 * l_linenumber + CASE WHEN l_quantity > 10 THEN 2 ELSE 1 END AS \"end\", CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 4 END AS kind FROM lineitem)"
 
 
 @query(_SPANS + """, g AS (SELECT l_orderkey, "begin", "end", bit_or(kind) AS kind FROM s GROUP BY ALL),
@@ -337,11 +338,11 @@ def span_merge(spark, sf_dir):
     return merge_spans(x, ["l_orderkey"])
 
 
-@query(_SPANS + """, r AS (SELECT DISTINCT l_orderkey, l_linenumber AS region_id, l_linenumber AS "begin", 9 - l_linenumber // 4 AS "end" FROM lineitem)
+@query(_SPANS + """, r AS (SELECT DISTINCT l_orderkey, l_linenumber AS region_id, 2 * l_linenumber AS "begin", 2 * (9 - l_linenumber // 4) AS "end" FROM lineitem)
 SELECT s.l_orderkey, s."begin", s."end", s.kind, arg_max(r.region_id, (r."begin", r.region_id)) AS region_id FROM s JOIN r ON s.l_orderkey = r.l_orderkey AND r."begin" <= s."begin" AND s."begin" < r."end" GROUP BY ALL""", base=False)
 def span_innermost(spark, sf_dir):
     x = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    regions = x.select("l_orderkey", F.col("l_linenumber").alias("region_id"), F.col("l_linenumber").alias("begin"), (9 - F.floor(F.col("l_linenumber") / 4)).cast("int").alias("end")).distinct()
+    regions = x.select("l_orderkey", F.col("l_linenumber").alias("region_id"), (2 * F.col("l_linenumber")).alias("begin"), (2 * (9 - F.floor(F.col("l_linenumber") / 4))).cast("int").alias("end")).distinct()
     return innermost(_spans(spark, sf_dir), regions, ["l_orderkey"])
 
 

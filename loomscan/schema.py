@@ -52,7 +52,7 @@ class Snapshot:
 
     files: path, checksum, file-scope metric columns; regions: path, region_id, parent_id, name, group_id, line_begin,
     line_end, cursor, checksum, region-scope metric columns; suppress: path, region_id (null: the file's), metrics
-    array<string>; properties: property, value.
+    array<string>; properties: property, value. tokens: the tokenizer's rows behind them, where these are kept.
     """
 
     files: DataFrame
@@ -60,6 +60,7 @@ class Snapshot:
     fields: list[Field]
     suppress: DataFrame | None = None
     properties: dict[str, str] = field(default_factory=dict)
+    tokens: DataFrame | None = None
 
     def numeric(self, regions: bool) -> list[Field]:
         return [f for f in self.fields if f.regions == regions and f.kind != "string"]

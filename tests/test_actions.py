@@ -4,6 +4,7 @@ import ast
 import json
 import xml.etree.ElementTree as ET
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -96,11 +97,19 @@ def test_report_export_info(spark, dbs, capsys):
 @given(counts=st.lists(st.integers(0, 30), min_size=1, max_size=60), columns=st.integers(1, 20))
 def test_bars_keep_counts(counts, columns):
     total = sum(counts)
-    bars = [{"value": float(k), "count": c, "ratio": c / total if total else 0.0, "diff": 0} for k, c in enumerate(counts)]
-    there = [b["value"] for b in bars if b["count"]] or [0.0]
-    out = compress(bars, columns, False, min(there), max(there))
-    assert sum(b["count"] for b in out) == total
-    assert not total or len(out) <= columns + 1
+    values = np.arange(len(counts), dtype=float)
+    closes, ends, _ = compress(values, np.array(counts), columns)
+    sums = [sum(counts[a:b]) for a, b in zip([0, *(c + 1 for c in closes)], [c + 1 for c in closes])]
+    assert sum(sums) == total and len(ends) == len(closes) and closes == sorted(set(closes))
+    assert not total or len(closes) <= columns + 1
+
+
+def test_bars_of_a_distribution():
+    values = np.array([0.0, 1, 2, 3, 7, 9])
+    assert compress(values, np.array([50, 20, 10, 5, 10, 5]), 3)[:2] == ([0, 2, 5], [(0, 0), (1, 2), (3, 9)])
+    assert compress(values, np.array([1, 1, 1, 1, 1, 1]), 0)[1] == [(v, v) for v in values]
+    closes, ends, widths = compress(np.arange(100.0), np.full(100, 3), 20)  # nearly even: widths instead
+    assert widths and ends[:2] == [(0, 5), (5, 10)] and closes[:2] == [5, 10]
 
 
 def test_stream_of_files(spark, tmp_path):

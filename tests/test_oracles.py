@@ -2,7 +2,7 @@
 
 import pytest
 
-from loomscan.plans.queries import ORACLES, QUERIES
+from loomscan.plans.generated import ORACLES, QUERIES
 
 from helpers import SMALL
 
