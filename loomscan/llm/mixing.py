@@ -57,10 +57,10 @@ def _finish_times(rows: DataFrame, sources: DataFrame, copies: int) -> DataFrame
     return joined.withColumn("finish", F.array(*finish)).select("row_id", "id", "source", "size", "key", "source_size", "target", "rank", "finish")
 
 
-def _numbered(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str, carry: bool) -> DataFrame:
-    """A table of row_id, id, source, size and key, and with carry the row itself; numbers are fixed by writing it."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), shuffle_key(F.col(id_col), seed).alias("key"), *([F.struct("*").alias("row")] if carry else []))
-    return materialize(rows.withColumn("row_id", F.monotonically_increasing_id()), "mix-rows")
+def _numbered(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str, *more: Column) -> DataFrame:
+    """A table of row_id, id, source, size and key, and of more columns; numbers are fixed by writing it."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), shuffle_key(F.col(id_col), seed).alias("key"), *more)
+    return materialize(rows.withColumn("row_id", F.monotonically_increasing_id()), "mix-rows", keep=True)
 
 
 def _mixed(rows: DataFrame, weights: tuple[int, ...], share: float, most: int, keep: bool) -> DataFrame:
@@ -102,7 +102,7 @@ def fair_queue_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     id each count; an empty table gives no rows. Other columns are ignored.
     """
     with workspace(docs.sparkSession):
-        out = _mixed(_numbered(docs, id_col, text_col, source_col, seed, False), weights, share, most, True)
+        out = _mixed(_numbered(docs, id_col, text_col, source_col, seed), weights, share, most, True)
     return out.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "finish", F.col("source").alias("source_name"))
 
 
@@ -110,16 +110,27 @@ def repeat_mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """The mix: rows of docs, each as often as it is taken, range-sorted by the finish times of the copies.
 
     Each row has copies of its own, whatever its id; the columns are those of docs. Written as files, part numbers and
-    places in them keep the order (see tokens.stored_order).
+    places in them keep the order (see tokens.stored_order). Rows are told apart by 128 bits of a hash of id, source and
+    text, so their texts aren't stored; where rows repeat all three, they are, with a number.
     """
     spark = docs.sparkSession
-    rows = _numbered(docs, id_col, text_col, source_col, seed, True)
+    names = ("_loomscan_1", "_loomscan_2")
+    hashes = [F.xxhash64(F.lit(n), F.col(id_col).cast("long"), F.col(source_col), F.col(id_col).isNull(), F.col(source_col).isNull(), F.col(text_col)).alias(n) for n in names]
     with workspace(spark):
-        copies = _mixed(rows, weights, share, most, False).filter("copies > 0").select("row_id", "rank", "key", F.posexplode(F.slice("finish", F.lit(1), F.col("copies"))).alias("copy", "at"))
-        copies = materialize(copies, "mix-copies", keep=True)
-    order = ("at", "rank", "key", "row_id", "copy")
-    mix = rows.select("row_id", "row").join(bounded(copies), "row_id")
-    return mix.repartitionByRange(file_count(rows), *order).sortWithinPartitions(*order).select("row.*")
+        rows = _numbered(docs, id_col, text_col, source_col, seed, *hashes)
+        mixed = _mixed(rows, weights, share, most, False).filter("copies > 0").select("row_id", F.slice("finish", F.lit(1), F.col("copies")).alias("_loomscan_at"))
+        if rows.groupBy(*names).count().filter("count > 1").isEmpty():
+            mixed = mixed.join(rows.select("row_id", *names), "row_id").drop("row_id")
+            mixed = materialize(mixed, "mix-copies", keep=True)
+            found = docs.select(F.struct("*").alias("row"), *hashes).join(bounded(mixed), list(names))
+        else:
+            rows = _numbered(docs, id_col, text_col, source_col, seed, F.struct("*").alias("row"))
+            mixed = _mixed(rows, weights, share, most, False).filter("copies > 0").select("row_id", F.slice("finish", F.lit(1), F.col("copies")).alias("_loomscan_at"))
+            mixed = materialize(mixed, "mix-copies", keep=True)
+            found = rows.select("row", "row_id", F.col("row_id").alias(names[0])).join(bounded(mixed), "row_id")
+    order = ("at", names[0], "copy")
+    mix = found.select("row", names[0], F.posexplode("_loomscan_at").alias("copy", "at"))
+    return mix.repartitionByRange(file_count(docs), *order).sortWithinPartitions(*order).select("row.*")
 
 
 def op7_fair_queue_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
