@@ -92,6 +92,13 @@ def _measured(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+_SUMS = "lang string, n_words long, classes array<long>, common array<long>"
+
+
+def _packed(sums: dict) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"lang": pa.array(sums, pa.string()), "n_words": pa.array([int(s[0]) for s in sums.values()], pa.int64()), "classes": pa.array([s[1].tolist() for s in sums.values()], pa.list_(pa.int64())), "common": pa.array([s[2].tolist() for s in sums.values()], pa.list_(pa.int64()))})
+
+
 def references(measured: DataFrame, min_words: int) -> DataFrame:
     """lang, ref_classes, ref_common: summed histograms of all documents of a language that pass the base rules.
 
@@ -110,17 +117,18 @@ def references(measured: DataFrame, min_words: int) -> DataFrame:
                 for k, x in enumerate((n[at].sum(), a[at].sum(0, dtype=np.int64), b[at].sum(0, dtype=np.int64))):
                     s[k] = s[k] + x
             if len(sums) > 1000:
-                yield pack(sums)
+                yield _packed(sums)
                 sums = {}
         if sums:
-            yield pack(sums)
-
-    def pack(sums: dict) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"lang": pa.array(sums, pa.string()), "n_words": pa.array([int(s[0]) for s in sums.values()], pa.int64()), "classes": pa.array([s[1].tolist() for s in sums.values()], pa.list_(pa.int64())), "common": pa.array([s[2].tolist() for s in sums.values()], pa.list_(pa.int64()))})
+            yield _packed(sums)
 
     passed = measured.filter("not base_failed and lang is not null").select("lang", "n_words", "classes", "common")
-    sums = passed.mapInArrow(run, "lang string, n_words long, classes array<long>, common array<long>")
+    sums = passed.mapInArrow(run, _SUMS)
+
+    return _totals(sums, min_words)
+
 
+def _totals(sums: DataFrame, min_words: int) -> DataFrame:
     def total(c: str, n: int) -> Column:
         return F.array(*[F.sum(F.col(c)[k]) for k in range(n)]).alias(f"ref_{c}")
 
@@ -131,7 +139,25 @@ def references(measured: DataFrame, min_words: int) -> DataFrame:
 def language_references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_words: int = 2000) -> DataFrame:
     """References for judge_quality from documents that are known to be good: lang, ref_classes, ref_common."""
     ship(docs.sparkSession)
-    return references(_measured(docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("_text"))), min_words)
+
+    def run(batches):  # measured and summed by one worker, so that a task doesn't hold two
+        sums: dict[str, list] = {}
+        for batch in batches:
+            for k in range(0, batch.num_rows, SLICE):
+                for lang, text in zip(*(c.to_pylist() for c in batch.slice(k, SLICE).columns)):
+                    n, _, _, _, repeats, classes, common = measure(text or "")
+                    if lang is not None and n >= 10 and 100 * repeats <= 20 * n:
+                        s = sums.setdefault(lang, [0, np.zeros(N_CLASSES, np.int64), np.zeros(len(COMMON) + 1, np.int64)])
+                        s[0] += n
+                        s[1] += classes
+                        s[2] += common
+                if len(sums) > 1000:
+                    yield _packed(sums)
+                    sums = {}
+        if sums:
+            yield _packed(sums)
+
+    return _totals(docs.select(F.col(lang_col), F.col(text_col)).mapInArrow(run, _SUMS), min_words)
 
 
 def js_distance(a: Column, n_a: Column, b: Column, n_b: Column) -> Column:
@@ -148,7 +174,7 @@ def js_distance(a: Column, n_a: Column, b: Column, n_b: Column) -> Column:
 
 
 def _judged(measured: DataFrame, refs: DataFrame | None, min_words: int, min_reference_words: int, class_limit: tuple[float, float], word_limit: tuple[float, float]) -> DataFrame:
-    """measured, a table, with js_classes, js_common and kept."""
+    """measured with js_classes, js_common and kept."""
     refs = references(measured, min_reference_words) if refs is None else refs.select("lang", "ref_classes", "ref_common")
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, v: s + v)
     refs = refs.select(F.col("lang").alias("ref_lang"), *[f(F.col(f"ref_{c}")).alias(n) for c in ("classes", "common") for f, n in ((lambda x: x, f"ref_{c}"), (total, f"ref_n_{c}"))])
@@ -183,11 +209,16 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", references: DataFrame | None = None, min_words: int = 50, min_reference_words: int = 2000, class_limit: tuple[float, float] = (0.2, 1.0), word_limit: tuple[float, float] = (0.22, 1.4)) -> DataFrame:
-    """The rows that judge_quality keeps, with their columns; each row has its own verdict, whatever its id."""
+    """The rows that judge_quality keeps, with their columns; each row has its own verdict, whatever its id.
+
+    Rows go through the workers with their counts. Without references, texts are measured once more before, for the
+    corpus-made ones, which are all that is stored: that costs less than a copy of the texts on disk.
+    """
     ship(docs.sparkSession)
+    if references is None:
+        references = language_references(docs, text_col, lang_col, min_reference_words)
     rows = docs.select(F.struct("*").alias("row"), F.col(lang_col).alias("lang"), F.col(text_col).alias("_text"))
-    measured = materialize(_measured(rows), "quality-rows")
-    return _judged(measured, references, min_words, min_reference_words, class_limit, word_limit).filter("kept").select("row.*")
+    return _judged(_measured(rows), references, min_words, min_reference_words, class_limit, word_limit).filter("kept").select("row.*")
 
 
 def op1_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
