@@ -7,6 +7,7 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,6 +87,22 @@ def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: What tasks cached in this worker, by operator, as functions that drop it.
+_cached: dict[str, Callable[[], None]] = {}
+
+
+def begin(operator: str, forget: Callable[[], None] | None = None) -> None:
+    """Called in a worker where a task's Python code starts: what tasks of other operators cached there is dropped.
+
+    Spark gives a worker to one stage after the other; the caches of all of them together would be memory that no
+    single operator accounts for. `forget` drops this operator's own, for the next one.
+    """
+    for other in [name for name in _cached if name != operator]:
+        _cached.pop(other)()
+    if forget:
+        _cached[operator] = forget
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, table
+from .common import begin, ship, table
 
 Q = 12
 EDITS = 0.05  # edit budget as a share of an item's length
@@ -467,6 +467,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         shared = spark.sparkContext.broadcast(index)
 
         def run(batches, shared=shared):
+            begin("decontaminate")
             index = shared.value
             for batch in batches:
                 for k in range(0, batch.num_rows, 512):
@@ -487,6 +488,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches, shared=shared):
+            begin("decontaminate")
             index = shared.value
             for batch in batches:
                 for k in range(0, batch.num_rows, 512):

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, dealt_join, materialize, ship, table, workspace
+from .common import begin, bounded, dealt_join, materialize, ship, table, workspace
 from .components import components
 
 K, ROWS, BITS = 128, 4, 2  # minima, minima a band, bits kept of each minimum
@@ -36,6 +36,10 @@ class _Hashes(dict):
 _hashes = _Hashes()
 
 
+def _forget() -> None:
+    _hashes.clear()
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * _C2
     return (x ^ (x >> np.uint64(29))) * _C3
@@ -103,6 +107,7 @@ def _matches(a: Column, b: Column) -> Column:
 
 def _sketched(rows: DataFrame, width: int, bands: int) -> DataFrame:
     def run(batches):
+        begin("neardup", _forget)
         for batch in batches:
             for k in range(0, batch.num_rows, SLICE):
                 part = batch.slice(k, SLICE)
@@ -117,6 +122,7 @@ def _sketched(rows: DataFrame, width: int, bands: int) -> DataFrame:
 
 def _sets(rows: DataFrame, width: int) -> DataFrame:
     def run(batches):
+        begin("neardup", _forget)
         for batch in batches:
             for k in range(0, batch.num_rows, SLICE):
                 part = batch.slice(k, SLICE)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructField, StructType
 
-from .common import bounded, materialize, ship, table, workspace
+from .common import begin, bounded, materialize, ship, table, workspace
 
 #: Frequent function words of four languages; their shares, and the share of all other words, are the word histogram.
 COMMON = tuple(
@@ -78,6 +78,7 @@ def _measured(rows: DataFrame) -> DataFrame:
     carried = [f for f in rows.schema.fields if f.name != "_text"]
 
     def run(batches):
+        begin("quality")
         for batch in batches:
             for k in range(0, batch.num_rows, SLICE):
                 part = batch.slice(k, SLICE)
@@ -141,6 +142,7 @@ def language_references(docs: DataFrame, text_col: str = "text", lang_col: str =
     ship(docs.sparkSession)
 
     def run(batches):  # measured and summed by one worker, so that a task doesn't hold two
+        begin("quality")
         sums: dict[str, list] = {}
         for batch in batches:
             for k in range(0, batch.num_rows, SLICE):

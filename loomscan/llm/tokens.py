@@ -18,11 +18,11 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import AtomicFile, file_count, open_fs, partitions, scratch, ship, table
+from .common import AtomicFile, begin, file_count, open_fs, partitions, scratch, ship, table
 
 SLICE = 512  # rows turned into Python objects at once
 CACHE = 300_000  # words whose counts a worker keeps
-UNITS = 600_000  # units whose ids a worker keeps, twice at most
+UNITS = 300_000  # units whose ids a worker keeps, twice at most
 LONG_UNIT = 64  # longer units aren't cached
 
 _tokenizers: dict[str, object] = {}
@@ -44,6 +44,11 @@ def load_tokenizer(name: str):
     return _tokenizers[name]
 
 
+def _forget() -> None:
+    _counts.clear()
+    _ids.clear()
+
+
 # --- operator 2: overlap resynchronisation -----------------------------------------------------------------------
 
 
@@ -162,6 +167,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ship(docs.sparkSession)
 
     def run(batches):
+        begin("tokens", _forget)
         count = token_counter(tokenizer, chunk, overlap)
         for batch in batches:
             for ids, texts in _slices(batch, "id", "text"):
@@ -392,6 +398,7 @@ def write_token_stream(docs: DataFrame, folder: str, id_col: str = "doc_id", tex
     ship(spark)
 
     def run(batches):
+        begin("tokens", _forget)
         encode, end, out, n = id_encoder(tokenizer), np.asarray([end_id], "<u4").tobytes(), None, 0
         wide = load_tokenizer(tokenizer).get_vocab_size() > 65_536 or end_id > 65_535
         part = TaskContext.get().partitionId()
