@@ -20,6 +20,7 @@ SIGMAS = 6  # of the estimate, by which a candidate may fall short before its se
 SLICE = 256
 CACHE = 200_000  # words whose hashes a worker keeps
 BLOCK = 1000  # classes of a bucket that are compared with as many others in one place
+SIZE_STEP = 1.05  # between classes of set sizes, in the last pass
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _MUL = _rng.integers(0, 1 << 63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -146,6 +147,48 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return materialize(joined.filter(100 * both >= percent * (F.size("a") + F.size("b") - both)).select("x", "y"), "near-links")
 
 
+def _first_shared(rest: DataFrame, sets: DataFrame, percent: int, close) -> DataFrame:
+    """Pairs (x, y) of the classes in rest (node, component, n, sig) that can be similar and lie in different components.
+
+    With all sets in one order, rare shingles first, the first shingle that x and y share stands at places i and j, counted
+    from 0, and they share min(n(x) - i, n(y) - j) at most; a pair is similar only if that reaches what its sizes ask for.
+    So a class stands under the shingles of its first places only, and under each of them once for every class of sizes
+    that its partners can have, which the place narrows.
+    """
+    words = sets.join(rest.select("node", "n"), "node").select("node", "n", F.explode("hashes").alias("h"))
+    counts = materialize(words.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1"), "near-counts")
+    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    order = dealt_join(words, counts, "h", "c", total).groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("common"))
+    alone = F.col("n") - F.size("common")  # shingles that no other class here has stand before all others
+    places = F.floor((100 - percent) * F.col("n") / 100).cast("int") + 1
+    first = order.select("node", "n", alone.alias("alone"), F.posexplode(F.slice("common", F.lit(1), F.greatest(F.lit(0), places - alone).cast("int"))))
+
+    def size_class(n: Column) -> Column:
+        return F.floor(F.log(n.cast("double")) / math.log(SIZE_STEP)).cast("int")
+
+    n = F.col("n")
+    low, high = F.ceil(percent * n / 100), F.floor(100 * n / percent)
+    high = F.least(high, F.floor((n - F.col("at")) * (100 + percent) / percent) - n)  # sizes of partners with which place `at` can be the first shared
+    first = first.select("node", "n", (F.col("alone") + F.col("pos")).alias("at"), F.col("col.h").alias("h")).withColumn("low", low).withColumn("high", high).filter("low <= high")
+    first = first.withColumn("own", size_class(n)).select("node", "n", "at", "h", "own", F.explode(F.sequence(size_class(F.col("low")), size_class(F.col("high")))).alias("other"))
+    bucket = F.xxhash64("h", F.least("own", "other"), F.greatest("own", "other")).alias("bucket")
+    first = materialize(first.select(bucket, "node", "at", "own", "other").join(rest, "node"), "near-first")
+    by_component = first.groupBy("bucket", "component").agg(F.count("*").alias("c"))
+    major = by_component.groupBy("bucket").agg(F.max_by("component", F.struct("c", "component")).alias("major"), F.sum("c").alias("in_bucket"), F.count("*").alias("several")).filter("several > 1")
+    major = materialize(major.select("bucket", "major", "in_bucket"), "near-major")
+    total = major.agg(F.coalesce(F.sum("in_bucket"), F.lit(0))).first()[0]
+    first = dealt_join(first, major, "bucket", "in_bucket", total).withColumn("blocks", F.ceil(F.col("in_bucket") / BLOCK).cast("int"))
+    first = materialize(first.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")), "near-first")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    held = ("node", "component", "n", "at", "sig")
+    a = first.filter("component <> major").select("bucket", "own", "other", F.col("block").alias("block_a"), every.alias("block_b"), *[F.col(c).alias(f"{c}_a") for c in held])
+    b = first.select("bucket", F.col("other").alias("own"), F.col("own").alias("other"), every.alias("block_a"), F.col("block").alias("block_b"), (F.col("component") == F.col("major")).alias("in_major"), *[F.col(c).alias(f"{c}_b") for c in held])
+    once = (F.col("component_a") != F.col("component_b")) & (F.col("in_major") | (F.col("node_a") < F.col("node_b")))
+    able = (100 + percent) * F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= percent * (F.col("n_a") + F.col("n_b"))
+    pairs = a.join(b, ["bucket", "own", "other", "block_a", "block_b"]).filter(once & able & close("n_a", "sig_a", "n_b", "sig_b"))
+    return pairs.select(F.col("node_a").alias("x"), F.col("node_b").alias("y")).distinct()
+
+
 def _linked(reps: DataFrame, sets_of, bands: int, percent: int) -> DataFrame:
     """(node, component) of the classes in reps that are linked with others; see near_duplicates."""
     least = least_matches(percent)
@@ -188,26 +231,7 @@ def _linked(reps: DataFrame, sets_of, bands: int, percent: int) -> DataFrame:
             found = components(links, "x", "y")
             open_, many, n = mixed(found)
     if n:
-        rest = open_.select("node").distinct()
-        single = sets.join(rest, "node").select("node", F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("c"), F.min("node").alias("node")).filter("c = 1")
-        alone = single.groupBy("node").agg(F.count("*").alias("alone"))
-        info = reps.join(rest, "node").join(alone, "node", "left").select("node", "bands", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("core"))
-        info = info.filter(100 * F.col("core") >= percent * F.col("n"))  # others are similar to none
-        open_ = materialize(open_.join(info, "node"), "near-open")
-        by_component = open_.groupBy("bucket", "component").agg(F.count("*").alias("c"))
-        major = by_component.groupBy("bucket").agg(F.max_by("component", F.struct("c", "component")).alias("major"), F.sum("c").alias("in_bucket"), F.count("*").alias("several")).filter("several > 1")
-        major = materialize(major.select("bucket", "major", "in_bucket"), "near-major")
-        open_ = dealt_join(open_, major, "bucket", "in_bucket", n).withColumn("blocks", F.ceil(F.col("in_bucket") / BLOCK).cast("int"))
-        open_ = materialize(open_.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")), "near-open")
-        own = ("node", "component", "n", "core", "sig", "bands")
-        every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        a = open_.filter("component <> major").select("bucket", F.col("block").alias("block_a"), every.alias("block_b"), *[F.col(c).alias(f"{c}_a") for c in own])
-        b = open_.select("bucket", every.alias("block_a"), F.col("block").alias("block_b"), (F.col("component") == F.col("major")).alias("in_major"), *[F.col(c).alias(f"{c}_b") for c in own])
-        once = (F.col("component_a") != F.col("component_b")) & (F.col("in_major") | (F.col("node_a") < F.col("node_b")))
-        able = (100 + percent) * F.least("core_a", "core_b") >= percent * (F.col("n_a") + F.col("n_b"))
-        here = F.get(F.array_intersect("bands_a", "bands_b"), F.lit(0)) == F.col("bucket")  # of several shared buckets, the first
-        third = a.join(b, ["bucket", "block_a", "block_b"]).filter(once & able & close("n_a", "sig_a", "n_b", "sig_b") & here)
-        more = _confirmed(third.select(F.col("node_a").alias("x"), F.col("node_b").alias("y")), sets, percent)
+        more = _confirmed(_first_shared(materialize(open_.select("node", "component").distinct(), "near-rest").join(reps.select("node", "n", "sig"), "node"), sets, percent, close), sets, percent)
         if not more.isEmpty():
             found = components(links.union(more), "x", "y")
     return found
@@ -254,10 +278,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     is confirmed on the full sets. A pair at the threshold is missed with a chance of 1e-7 (bands) or 1e-9 (estimate).
 
     In a large bucket not all pairs are compared: first each class with the most connected class of its buckets, then
-    all with the leaders of their buckets, and after that only what still lies in different components, less the pairs
-    that cannot be similar: with u(x) shingles of x that no other class in question has, x and y share
-    min(n(x)-u(x), n(y)-u(y)) at most. Skipped pairs lie in one component or can't be links, so none is lost. Large
-    buckets, classes and groups are dealt over many tasks; the pairs left in a bucket are met by blocks of it.
+    all with the leaders of their buckets. What still lies in different components meets by rare shingles: of two sets
+    in one order, rare shingles first, the first one shared and its places bound what they share (_first_shared).
+    Skipped pairs lie in one component or can't be links, so none is lost. Large buckets, shingles, classes and groups
+    are dealt over many tasks; the pairs left under a hot shingle are met by blocks.
 
     Null, empty and blank texts have empty sets, component_id = id, and are kept. Shorter texts are one shingle. Rows
     that repeat an id and text are kept alike, and rows that repeat an id with other texts are documents of their own;

@@ -72,6 +72,34 @@ def test_large_buckets_lose_no_links(make_docs):
     assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got} == brute(rows, 5, 80)
 
 
+def hot_group(rng, n, base, changes):
+    """Near copies of one text that resemble each other less than asked for, but for twins of them that differ in one word."""
+    rows = []
+    for _ in range(n):
+        text = list(base)
+        for place in rng.sample(range(len(text)), changes):
+            text[place] = "new%d" % rng.randrange(40)
+        twin = list(text)
+        twin[rng.randrange(len(twin))] = "twin"
+        rows += [(len(rows), " ".join(text)), (len(rows) + 1, " ".join(twin))]
+    return rows
+
+
+@pytest.mark.parametrize("width, percent, changes", [(3, 85, 7), (5, 80, 6)])
+def test_links_within_a_hot_group_of_near_copies(make_docs, monkeypatch, width, percent, changes):
+    """The last pass has to find them, without listing the group's pairs."""
+    from loomscan.llm import neardup
+
+    rng, met, confirmed = random.Random(width), [], neardup._confirmed
+    base = ["s%d" % k for k in range(150)]
+    rows = [(10**6, " ".join(base)), *hot_group(rng, 150, base, changes)]
+    monkeypatch.setattr(neardup, "_confirmed", lambda pairs, *rest: met.append((pairs.count(), confirmed(pairs, *rest))) or met[-1][1])
+    monkeypatch.setattr(neardup, "BLOCK", 20)
+    got = near_duplicates(make_docs(rows), width=width, percent=percent).collect()
+    assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got} == brute(rows, width, percent)
+    assert len(met) == 3 and 0 < met[2][0] < 3 * len(rows)
+
+
 def test_small_table(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
     got = near_duplicates(docs, width=5, percent=80).collect()
