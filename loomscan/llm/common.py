@@ -29,8 +29,8 @@ _workspaces: list[list[str]] = []
 def scratch(spark: SparkSession, name: str) -> str:
     """URI of a new folder in the shared folder that the cluster names in spark.checkpoint.dir.
 
-    Where that setting is missing, a local session gets a temporary folder of its own; a cluster is refused. All folders
-    of an application are in one, which is removed when the driver's Python ends, or by clean_up().
+    Where that setting is missing, a local session gets a temporary folder of its own; a cluster is refused. A folder's
+    name has the application's id, and it is removed when the driver's Python ends, or by clean_up().
     """
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_loomscan_scratch", None)
@@ -38,23 +38,26 @@ def scratch(spark: SparkSession, name: str) -> str:
         if not re.match(r"local($|\[)", sc.master or ""):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = sc._loomscan_scratch = "file://" + tempfile.mkdtemp(prefix="loomscan-")
-    folder = f"{base.rstrip('/')}/loomscan/{getattr(sc, 'applicationId', 'application')}"
-    if getattr(sc, "_loomscan_folder", None) != folder:
-        sc._loomscan_folder = folder
+    folder = f"{base.rstrip('/')}/loomscan/{name}-{getattr(sc, 'applicationId', 'application')}-{uuid.uuid4().hex}"
+    if not hasattr(sc, "_loomscan_folders"):
+        sc._loomscan_folders = set()
         atexit.register(clean_up, spark)
-    return f"{folder}/{name}-{uuid.uuid4().hex}"
+    sc._loomscan_folders.add(folder)
+    return folder
 
 
 def _remove(spark: SparkSession, folder: str) -> None:
     sc = spark.sparkContext
     path = sc._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    sc._loomscan_folders.discard(folder)
 
 
 def clean_up(spark: SparkSession) -> None:
     """Remove all tables that operators of this application wrote; results that weren't read yet are lost."""
     try:
-        _remove(spark, spark.sparkContext._loomscan_folder)
+        for folder in list(getattr(spark.sparkContext, "_loomscan_folders", ())):
+            _remove(spark, folder)
     except Exception:  # the session or its JVM has ended, its folder stays
         return
 

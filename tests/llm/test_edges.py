@@ -138,3 +138,21 @@ def test_repeated_documents_are_mixed_alike(make_docs):
     docs = make_docs([(1, "a b c", "en", "s", 1)] * 3 + [(2, "a b", "en", None, 1)])
     got = fair_queue_mix(docs)
     assert got.agg(F.sum("taken")).first()[0] <= 1.5 * 11 and got.count() == 4
+
+
+def test_clean_up_removes_only_what_the_session_wrote(spark, monkeypatch):
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    from loomscan.llm.common import clean_up, materialize, workspace
+
+    folder = lambda df: Path(urlparse(df.inputFiles()[0]).path).parent
+    other = folder(materialize(spark.range(3), "other"))
+    monkeypatch.setattr(spark.sparkContext, "_loomscan_folders", set())
+    with workspace(spark):
+        inside = folder(materialize(spark.range(3), "inside"))
+    mine = folder(materialize(spark.range(3), "mine"))
+    assert mine.parent == other.parent and mine.parent.name == "loomscan" and spark.sparkContext.applicationId in mine.name
+    assert other.exists() and mine.exists() and not inside.exists()
+    clean_up(spark)
+    assert other.exists() and not mine.exists()
