@@ -9,7 +9,7 @@ from loomscan.llm.decontaminate import drop_contaminated
 from loomscan.llm.mixing import repeat_mixed
 from loomscan.llm.neardup import keep_one
 from loomscan.llm.quality import keep_good
-from loomscan.llm.tokens import stored_order, token_stream
+from loomscan.llm.tokens import token_stream
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files in the mix's order, that of the stored documents, read back: one row per document of it."""
-    return token_stream(docs, stored_order(docs))
+    return token_stream(docs, stored=True)
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mixing), ("token_output", token_output)]

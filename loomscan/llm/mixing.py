@@ -9,6 +9,7 @@ from .common import WORD, bounded, file_count, materialize, table, workspace
 
 KEY_BITS, BUCKET_BITS = 60, 12
 BINS = 65_536  # of one unit of virtual time
+FILE_BYTES = 16 << 20  # of the input for each file of the mix: a task sorts the texts of one in memory, copies included
 
 
 def word_count(text: Column) -> Column:
@@ -130,7 +131,7 @@ def repeat_mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = rows.select("row", "row_id", F.col("row_id").alias(names[0])).join(bounded(mixed), "row_id")
     order = ("at", names[0], "copy")
     mix = found.select("row", names[0], F.posexplode("_loomscan_at").alias("copy", "at"))
-    return mix.repartitionByRange(file_count(docs), *order).sortWithinPartitions(*order).select("row.*")
+    return mix.repartitionByRange(file_count(docs, FILE_BYTES), *order).sortWithinPartitions(*order).select("row.*")
 
 
 def op7_fair_queue_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

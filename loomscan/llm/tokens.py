@@ -9,6 +9,8 @@ import sys
 import zlib
 from array import array
 from collections.abc import Iterator
+from hashlib import md5
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -376,52 +378,83 @@ def read_documents(uri: str) -> Iterator[tuple[int | None, int, int, int]]:
 
 
 def stored_order(docs: DataFrame) -> list[Column]:
-    """Columns that order a table of part files as it was written; none where docs isn't read from files."""
+    """Columns that order a table of part files as it was written, by number, path and row; none where docs isn't read from files."""
     try:
         meta = docs.metadataColumn("_metadata")
-        order = [F.regexp_extract(meta["file_name"], r"part-(\d+)", 1).cast("long"), meta["file_name"], meta["row_index"]]
+        order = [F.regexp_extract(meta["file_name"], r"part-(\d+)", 1).try_cast("long"), meta["file_path"], meta["row_index"]]
         docs.select(*order).schema
         return order
     except AnalysisException:
         return []
 
 
-def write_token_stream(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k.json", end_id: int = 2, seq_len: int = 1024, order: list[Column] | None = None) -> DataFrame:
+def is_scan(docs: DataFrame) -> bool:
+    """Whether docs only reads files, perhaps with columns and rows left out, so that its tasks have a split's rows as they are stored."""
+    node = docs._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() in ("Project", "Filter"):
+        node = node.children().head()
+    return node.nodeName() == "LogicalRelation"
+
+
+def write_token_stream(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k.json", end_id: int = 2, seq_len: int = 1024, order: list[Column] | None = None, stored: bool = False) -> DataFrame:
     """Encode whole texts, append end_id to each, and write all ids in ascending order of id; returns the files.
 
     Documents are dealt by ranges, so file k holds the k-th range and the concatenated files are one stream in order;
     there is a file for 32 MB of the table. Result: part, uri, n_docs, n_ids, and start (ids in the files before). Null
     ids come first, null texts are empty (just the end id), rows with equal ids are ordered by a hash of the text. With
     `order`, the stream follows these columns of docs instead. An empty table gives no rows.
+
+    With `stored`, it follows stored_order(docs) where docs is read from files, and `order` is ignored then. Nothing is
+    shuffled if docs is just that: each split that a task reads is a stretch of the order and becomes a file of its own.
     """
     spark = docs.sparkSession
     ship(spark)
+    if places := stored_order(docs) if stored else []:
+        order = places
+    in_place = bool(places) and is_scan(docs)
 
     def run(batches):
         begin("tokens", _forget)
-        encode, end, out, n = id_encoder(tokenizer), np.asarray([end_id], "<u4").tobytes(), None, 0
+        encode, end, out, now, n = id_encoder(tokenizer), np.asarray([end_id], "<u4").tobytes(), None, None, 0
         wide = load_tokenizer(tokenizer).get_vocab_size() > 65_536 or end_id > 65_535
-        part = TaskContext.get().partitionId()
-        uri = f"{folder}/part-{part:06d}.arrow"
+        task = TaskContext.get().partitionId()
+
+        def close():
+            out.close()
+            number, path, _, first = now
+            return pa.RecordBatch.from_pydict({"number": pa.array([number], pa.int64()), "path": [path], "first": pa.array([first], pa.int64()), "uri": [uri], "n_docs": pa.array([n], pa.int64()), "n_ids": pa.array([out.n_ids], pa.int64())})
+
         for batch in batches:
-            for ids, texts in _slices(batch, "id", "text"):
-                out = out or StreamFile(uri, seq_len, wide)
-                for d, packed in zip(ids, encode([t or "" for t in texts])):
+            for ids, texts, *splits in _slices(batch, "id", "text", *(("number", "path", "split", "first") if in_place else ())):
+                at = zip(*splits) if in_place else repeat((task, "", 0, 0))
+                for d, packed, split in zip(ids, encode([t or "" for t in texts]), at):
+                    if now is None or split[:3] != now[:3]:
+                        if out:
+                            yield close()
+                        now, n = split, 0
+                        uri = f"{folder}/part-{split[0] or 0:06d}{f'-{md5(split[1].encode()).hexdigest()}-{split[3]:012d}' if in_place else ''}.arrow"
+                        out = StreamFile(uri, seq_len, wide)
                     out.add(d, np.frombuffer(packed + end, "<u4"))
-                n += len(ids)
+                    n += 1
         if out:
-            out.close()
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "uri": [uri], "n_docs": pa.array([n], pa.int64()), "n_ids": pa.array([out.n_ids], pa.int64())})
-
-    order = order or [F.col(id_col).cast("long")]
-    names = [f"o{k}" for k in range(len(order))]
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *[c.alias(n) for c, n in zip(order, names)])
-    ranged = rows.repartitionByRange(file_count(docs), *names).sortWithinPartitions(*names, "id", F.xxhash64("text"))
-    files = ranged.select("id", "text").mapInArrow(run, "part int, uri string, n_docs long, n_ids long")
+            yield close()
+
+    rows = [F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")]
+    if in_place:
+        number, path, row = places
+        rows = docs.select(*rows, number.alias("number"), path.alias("path"), docs.metadataColumn("_metadata")["file_block_start"].alias("split"), row.alias("first"))
+    else:
+        order = order or [F.col(id_col).cast("long")]
+        names = [f"o{k}" for k in range(len(order))]
+        rows = docs.select(*rows, *[c.alias(n) for c, n in zip(order, names)])
+        rows = rows.repartitionByRange(file_count(docs), *names).sortWithinPartitions(*names, "id", F.xxhash64("text")).select("id", "text")
+    files = rows.mapInArrow(run, "number long, path string, first long, uri string, n_docs long, n_ids long")
     files.write.parquet(manifest := f"{folder}/manifest")
     files = spark.read.schema(files.schema).parquet(manifest)  # one row a file
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    return files.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
+    by_place = Window.orderBy("number", "path", "first")
+    before = by_place.rowsBetween(Window.unboundedPreceding, -1)
+    part = F.row_number().over(by_place) - 1 if in_place else F.col("number").cast("int")
+    return files.select(part.alias("part"), "uri", "n_docs", "n_ids", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("start"))
 
 
 def read_token_stream(files: DataFrame) -> DataFrame:
@@ -448,9 +481,9 @@ def _stream_rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({n: pa.array(x, pa.int32() if n == "part" else pa.int64()) for n, x in zip(names, zip(*rows))})
 
 
-def token_stream(docs: DataFrame, order: list[Column] | None = None) -> DataFrame:
+def token_stream(docs: DataFrame, stored: bool = False) -> DataFrame:
     """Write documents as a token stream in shared storage and read it back, one row per document."""
-    return read_token_stream(write_token_stream(docs, scratch(docs.sparkSession, "tokens"), order=order))
+    return read_token_stream(write_token_stream(docs, scratch(docs.sparkSession, "tokens"), stored=stored))
 
 
 def op9_token_stream_file(spark: SparkSession, sf_dir: str) -> DataFrame:

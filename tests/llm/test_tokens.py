@@ -121,3 +121,34 @@ def test_stream_follows_an_order(spark, make_docs, tmp_path):
     files = write_token_stream(docs, f"file://{tmp_path}/o", order=[F.col("doc_id") % 7, -F.col("doc_id")])
     back = read_token_stream(files).orderBy("start").collect()
     assert [r["doc_id"] for r in back] == sorted(range(50), key=lambda k: (k % 7, -k))
+
+
+def test_stored_stream_is_written_in_place(spark, make_docs, tmp_path):
+    """Files of a table, in several splits and some without a number, become the stream in their order; texts aren't shuffled."""
+    docs = make_docs([(97 * k % 400, f"w{k} " * (k % 90)) for k in range(400)])
+    docs.repartitionByRange(3, F.col("doc_id") % 7).write.option("parquet.block.size", 4096).option("compression", "none").parquet(f"{tmp_path}/d")
+    docs.limit(5).coalesce(1).write.parquet(f"{tmp_path}/e")
+    name = next((tmp_path / "e").glob("part-*.parquet")).rename(tmp_path / "d" / "other.parquet")
+    stored = spark.read.parquet(f"{tmp_path}/d")
+    wanted = [r["doc_id"] for r in stored.select("doc_id", "_metadata.file_name", "_metadata.row_index").orderBy(F.col("file_name") != name.name, "file_name", "row_index").collect()]
+    assert len(wanted) == 405
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        for docs, in_place in ((stored, True), (stored.hint("rebalance"), False)):
+            files = write_token_stream(docs, f"file://{tmp_path}/s{in_place}", stored=True)
+            parts = files.orderBy("part").collect()
+            back = read_token_stream(files).orderBy("start").collect()
+            assert [r["doc_id"] for r in back] == wanted and {r["part"] for r in back} == {p["part"] for p in parts}
+            assert [p["start"] for p in parts] == [sum(p["n_ids"] for p in parts[:k]) for k in range(len(parts))]
+            assert sum(p["n_docs"] for p in parts) == 405
+            assert not in_place or [p["part"] for p in parts] == list(range(len(parts))) and len(parts) > 4 and all(len(p["uri"].rsplit("-", 2)[-2]) == 32 for p in parts)
+            texts = dict(docs.select("doc_id", F.coalesce("text", F.lit(""))).collect())
+            at = 0
+            for r in back:
+                x = np.asarray([*ids(BYTES, texts[r["doc_id"]]), 2], "<u4")
+                assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(x), zlib.crc32(x.tobytes()))
+                at += len(x)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert read_token_stream(write_token_stream(stored.limit(0), f"file://{tmp_path}/none", stored=True)).count() == 0
