@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,6 +107,24 @@ def begin(operator: str, forget: Callable[[], None] | None = None) -> None:
         _cached[operator] = forget
 
 
+def freed(batches: Iterable) -> Iterator:
+    """The batches of a task; before each next one, and at the end, the worker's free memory goes back to the system.
+
+    Arrow's allocator keeps what it freed, as malloc does: a worker would hold the memory of the largest batches it had,
+    while it is idle too, beside the JVM of its executor.
+    """
+    import pyarrow as pa
+
+    for batch in batches:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU C library
+        return
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

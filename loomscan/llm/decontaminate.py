@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import begin, ship, table
+from .common import begin, freed, ship, table
 
 Q = 12
 EDITS = 0.05  # edit budget as a share of an item's length
@@ -469,7 +469,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         def run(batches, shared=shared):
             begin("decontaminate")
             index = shared.value
-            for batch in batches:
+            for batch in freed(batches):
                 for k in range(0, batch.num_rows, 512):
                     ids, texts, hashes = (c.to_pylist() for c in batch.slice(k, 512).columns)
                     found = [(ids[d], item, a, b, e, hashes[d]) for d, i, a, b, e in (index.finds if quotations else index.search)([t or "" for t in texts]) for item in index.ids[i]]
@@ -490,7 +490,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def run(batches, shared=shared):
             begin("decontaminate")
             index = shared.value
-            for batch in batches:
+            for batch in freed(batches):
                 for k in range(0, batch.num_rows, 512):
                     part = batch.slice(k, 512)
                     texts = part.column(part.schema.get_field_index("text")).to_pylist()

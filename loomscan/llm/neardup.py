@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import begin, bounded, dealt_join, materialize, ship, table, workspace
+from .common import begin, bounded, dealt_join, freed, materialize, ship, table, workspace
 from .components import components
 
 K, ROWS, BITS = 128, 4, 2  # minima, minima a band, bits kept of each minimum
@@ -109,7 +109,7 @@ def _matches(a: Column, b: Column) -> Column:
 def _sketched(rows: DataFrame, width: int, bands: int) -> DataFrame:
     def run(batches):
         begin("neardup", _forget)
-        for batch in batches:
+        for batch in freed(batches):
             for k in range(0, batch.num_rows, SLICE):
                 part = batch.slice(k, SLICE)
                 sets = [shingles(t, width) for t in part.column(3).to_pylist()]
@@ -124,7 +124,7 @@ def _sketched(rows: DataFrame, width: int, bands: int) -> DataFrame:
 def _sets(rows: DataFrame, width: int) -> DataFrame:
     def run(batches):
         begin("neardup", _forget)
-        for batch in batches:
+        for batch in freed(batches):
             for k in range(0, batch.num_rows, SLICE):
                 part = batch.slice(k, SLICE)
                 yield pa.RecordBatch.from_pydict({"node": part.column(0), "hashes": pa.array([shingles(t, width).view(np.int64) for t in part.column(1).to_pylist()], pa.list_(pa.int64()))})

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructField, StructType
 
-from .common import begin, bounded, materialize, ship, table, workspace
+from .common import begin, bounded, freed, materialize, ship, table, workspace
 
 #: Frequent function words of four languages; their shares, and the share of all other words, are the word histogram.
 COMMON = tuple(
@@ -79,7 +79,7 @@ def _measured(rows: DataFrame) -> DataFrame:
 
     def run(batches):
         begin("quality")
-        for batch in batches:
+        for batch in freed(batches):
             for k in range(0, batch.num_rows, SLICE):
                 part = batch.slice(k, SLICE)
                 texts = [t or "" for t in part.column(part.schema.get_field_index("_text")).to_pylist()]
@@ -144,7 +144,7 @@ def language_references(docs: DataFrame, text_col: str = "text", lang_col: str =
     def run(batches):  # measured and summed by one worker, so that a task doesn't hold two
         begin("quality")
         sums: dict[str, list] = {}
-        for batch in batches:
+        for batch in freed(batches):
             for k in range(0, batch.num_rows, SLICE):
                 for lang, text in zip(*(c.to_pylist() for c in batch.slice(k, SLICE).columns)):
                     n, _, _, _, repeats, classes, common = measure(text or "")

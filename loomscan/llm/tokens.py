@@ -20,7 +20,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import AtomicFile, begin, file_count, open_fs, partitions, scratch, ship, table
+from .common import AtomicFile, begin, file_count, freed, open_fs, partitions, scratch, ship, table
 
 SLICE = 512  # rows turned into Python objects at once
 CACHE = 300_000  # words whose counts a worker keeps
@@ -171,7 +171,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches):
         begin("tokens", _forget)
         count = token_counter(tokenizer, chunk, overlap)
-        for batch in batches:
+        for batch in freed(batches):
             for ids, texts in _slices(batch, "id", "text"):
                 texts = [t or "" for t in texts]
                 tokens = count(texts)
@@ -424,7 +424,7 @@ def write_token_stream(docs: DataFrame, folder: str, id_col: str = "doc_id", tex
             number, path, _, first = now
             return pa.RecordBatch.from_pydict({"number": pa.array([number], pa.int64()), "path": [path], "first": pa.array([first], pa.int64()), "uri": [uri], "n_docs": pa.array([n], pa.int64()), "n_ids": pa.array([out.n_ids], pa.int64())})
 
-        for batch in batches:
+        for batch in freed(batches):
             for ids, texts, *splits in _slices(batch, "id", "text", *(("number", "path", "split", "first") if in_place else ())):
                 at = zip(*splits) if in_place else repeat((task, "", 0, 0))
                 for d, packed, split in zip(ids, encode([t or "" for t in texts]), at):

@@ -428,3 +428,33 @@ def test_long_lines_recur_in_two_documents_and_short_ones_in_many(make_docs):
     rows = [(1, f"{long}\nYes."), (2, f"one\n{long}\nNo."), *[(10 + k, f"All rights reserved.\nonly {'abcdefghijklmnopqrstuvwxyz'[k]}") for k in range(20)]]
     got = {r["doc_id"]: r["text"] for r in drop_template_lines(make_docs(rows)).collect()}
     assert (got[1], got[2]) == ("Yes.", "one\nNo.") and all(got[10 + k].startswith("only") for k in range(20))
+
+
+def test_workers_give_free_memory_back():
+    """Thirty batches of some 10 MB, read and dropped, leave far less in a process than they do by themselves."""
+    import subprocess
+    import sys
+
+    from helpers import ROOT
+
+    code = """
+import re, sys
+import pyarrow as pa
+from loomscan.llm.common import freed
+
+def held():
+    return sum(map(int, re.findall(r"\\nPss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+def batches():
+    for k in range(30):
+        with pa.ipc.new_stream(out := pa.BufferOutputStream(), pa.schema([("text", pa.string())])) as w:
+            w.write_batch(pa.record_batch({"text": [f"{k} {i} " * 300 for i in range(4000)]}))
+        yield pa.ipc.open_stream(pa.BufferReader(out.getvalue())).read_next_batch()
+
+before = held()
+for _ in (freed if sys.argv[1] == "freed" else iter)(batches()):
+    del _
+print(held() - before)
+"""
+    grown = {how: float(subprocess.run([sys.executable, "-c", code, how], check=True, cwd=ROOT, capture_output=True, text=True).stdout) for how in ("freed", "plain")}
+    assert grown["plain"] - grown["freed"] > 20, grown
