@@ -15,8 +15,11 @@ from ..operators.histogram import compress_distribution
 from ..operators.limit import Limit, warnings
 from ..operators.store import collect
 from ..schema import Snapshot
+from ..workers import tasks_for
 from .queries import ORACLES, QUERIES, query
 
+#: Files of a task at most: some 10 MB of text and 3 seconds of the tokenizer.
+FILES = 20_000
 #: How often pieces are repeated, from the columns of part: branches, comments, fields, globals, long lines, strings.
 COUNTS = {"b": "p_size % 4", "c": "p_partkey % 3", "f": "p_size % 5 % 3", "g": "p_partkey % 2", "l": "p_size % 6 % 2", "s": "p_partkey % 5 % 2", "m": "(p_partkey + p_size) % 3 % 2"}
 BRANCH = "        if (a > 17 && a) { a += 23; }\n"
@@ -35,8 +38,10 @@ FRAMES = {
 
 
 def generated(spark: SparkSession, sf_dir: str, lang: str) -> DataFrame:
-    """path, lang, text, checksum of a file a part."""
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.concat(F.lit("./p/"), "p_partkey").alias("path"), *[F.expr(e).cast("int").alias(n) for n, e in COUNTS.items()])
+    """path, lang, text, checksum of a file a part; the counts are dealt over tasks before any text is made of them."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    tasks = tasks_for(spark, part.count(), FILES)
+    part = part.select(F.concat(F.lit("./p/"), "p_partkey").alias("path"), *[F.expr(e).cast("int").alias(n) for n, e in COUNTS.items()]).repartition(tasks)
     head, opened, function, closed, end, bottom = FRAMES[lang]
     pieces = [head, (GLOBAL, "g"), opened, (FIELD, "f"), function, (MUTE, "m"), (COMMENT, "c"), (BRANCH, "b"), (LONG, "l"), (STRING, "s"), closed, end, bottom]
     text = F.concat(*[F.lit(p) if isinstance(p, str) else F.repeat(F.lit(p[0]), F.col(p[1])) for p in pieces])
@@ -146,7 +151,7 @@ def code_files(spark, sf_dir):
 @query(_lines("cpp") + "SELECT path, region_id, function_line::INT AS cursor, class_line::INT AS class_line, function_line::INT AS line_begin, (function_line + body_lines + 2)::INT AS line_end FROM r WHERE group_id = 16", base=False)
 def code_line_numbers(spark, sf_dir):
     r = collected(spark, sf_dir).regions
-    c = r.filter("group_id = 2").select("path", F.col("line_begin").alias("class_line"))
+    c = r.filter("group_id = 2").select("path", F.col("line_begin").alias("class_line")).hint("merge")  # a row a file: Spark takes it for as small as the table of parts
     return r.filter("group_id = 16").join(c, "path").select("path", "region_id", "cursor", "class_line", "line_begin", "line_end")
 
 

@@ -1,4 +1,4 @@
-"""Sends this package to Python workers and bounds what they get at once."""
+"""Sends this package to Python workers and bounds what they, and other tasks, get at once."""
 
 from __future__ import annotations
 
@@ -30,3 +30,12 @@ def ship(spark: SparkSession) -> None:
             z.write(p, f"{root.name}/{p.relative_to(root)}")
     sc.addPyFile(str(target))
     sc._loomscan_shipped = True
+
+
+def tasks_for(spark: SparkSession, rows: int, most: int) -> int:
+    """Tasks for so many rows, none with more than `most` of them on average; few rows still go to all cores, an eighth of `most` each.
+
+    For repartition(): a small file is one task however much is made of its rows, and Spark joins partitions by their bytes,
+    which say little about the rows of narrow tables.
+    """
+    return max(1, -(-rows // most), min(spark.sparkContext.defaultParallelism, 8 * rows // most))
