@@ -179,13 +179,27 @@ MI = Field("std.code.mi", "simple")
 RATIO = Field("std.code.ratio", "comments", kind="double")
 
 
+_MASKS = {f: reduce(int.__or__, (REGION_TYPES[t] for t in ts.split(","))) for f, ts in _CHILDREN.items()}
+
+
 def child_metrics(regions: DataFrame) -> DataFrame:
-    """path, parent_id, number of direct children by type, their length: one aggregation for all seven metrics."""
-    masks = {f: reduce(int.__or__, (REGION_TYPES[t] for t in ts.split(","))) for f, ts in _CHILDREN.items()}
-    counts = [F.nullif(F.count_if(F.col("group_id").bitwiseAND(m) != 0), F.lit(0)).alias(f"std.code.member:{f}") for f, m in masks.items()]
+    """path, parent_id, number of direct children by type, their length: one aggregation for all seven metrics.
+
+    For regions of any origin; of the tokenizer's rows, which know their children, measure() needs none.
+    """
+    counts = [F.nullif(F.count_if(F.col("group_id").bitwiseAND(m) != 0), F.lit(0)).alias(f"std.code.member:{f}") for f, m in _MASKS.items()]
     return regions.filter("parent_id is not null").groupBy("path", "parent_id").agg(*counts, F.sum(F.col("offset_end") - F.col("offset_begin")).alias("_inside"))
 
 
+def _child_columns() -> list[Column]:
+    """child_metrics() of the tokenizer's rows: each has the types of its children."""
+
+    def count(mask: int) -> Column:
+        return F.size(F.filter("children", lambda t: t.bitwiseAND(mask) != 0)).cast("long")
+
+    return [F.nullif(count(m), F.lit(0)).alias(f"std.code.member:{f}") for f, m in _MASKS.items()]
+
+
 def rank(value: Column, limits: list[int]) -> Column:
     """1 for values up to the first limit, and so on; one more than the limits for larger ones. Null stays null."""
     out = F.lit(len(limits) + 1)
@@ -206,20 +220,18 @@ def comment_ratio(comments: Column, code: Column) -> Column:
 
 
 def measure(tokens: DataFrame, specs: list[MetricSpec]) -> tuple[DataFrame, DataFrame]:
-    """(regions, files) with a column a metric, of the tokenizer's rows. Without a shuffle, except for counts of children."""
+    """(regions, files) with a column a metric, of the tokenizer's rows. Without a shuffle: a row has all that its metrics need."""
     own = [s.column() for s in specs if s.field.regions]
     whole = [s.column() for s in specs if not s.field.regions]
-    keep = [F.col(c) for c in tokens.columns if c not in ("spans", "procerrors")]
-    regions = tokens.filter("region_id is not null").select(*keep, *own)
+    keep = [F.col(c) for c in tokens.columns if c not in ("spans", "procerrors", "children", "inside")]
+    length = (F.col("offset_end") - F.col("offset_begin") - F.col("inside")).cast("long").alias(LENGTH.column)
+    regions = tokens.filter("region_id is not null").select(*keep, *own, *_child_columns(), length)
     c = {s.field.column for s in specs}
     cyclomatic, code, comments = "std.code.complexity:cyclomatic", "std.code.lines:code", "std.code.lines:comments"
     if {cyclomatic, code} <= c:
         regions = regions.withColumn(MI.column, maintainability(F.col(f"`{cyclomatic}`"), F.col(f"`{code}`")))
     if {comments, code} <= c:
         regions = regions.withColumn(RATIO.column, comment_ratio(F.col(f"`{comments}`"), F.col(f"`{code}`")))
-    kids = child_metrics(tokens.filter("region_id is not null")).withColumnsRenamed({"path": "_path", "parent_id": "_parent"})
-    regions = regions.join(kids, (F.col("path") == F.col("_path")) & (F.col("region_id") == F.col("_parent")), "left")
-    regions = regions.withColumn(LENGTH.column, (F.col("offset_end") - F.col("offset_begin") - F.coalesce("_inside", F.lit(0))).cast("long")).drop("_path", "_parent", "_inside")
     size = F.col("offset_end").cast("long").alias("std.general:size")
     errors = F.nullif(F.col("procerrors"), F.lit(0)).cast("long").alias("std.general:procerrors")
     files = tokens.filter("region_id is null").select("path", "lang", "checksum", size, errors, *whole)

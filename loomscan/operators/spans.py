@@ -17,7 +17,7 @@ BATCH = 2_000_000
 
 
 _SPAN = pa.struct([("kind", pa.int32()), ("begin", pa.int32()), ("end", pa.int32()), ("text", pa.string())])
-_TYPES = {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}
+_TYPES = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "array<int>": pa.list_(pa.int32())}
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

@@ -11,10 +11,11 @@ REGION_TYPES = {"global": 1, "class": 2, "struct": 4, "namespace": 8, "function"
 SPAN_KINDS = {"comment": 1, "string": 2, "preprocessor": 4, "code": 8}
 ANY = 255
 
+#: A row a file (region_id null) and one a region; children: types of the regions directly inside, inside: their length in all.
 SPAN = "struct<kind:int,begin:int,end:int,text:string>"
 REGIONS = (
     "path string, lang string, region_id int, parent_id int, name string, group_id int, offset_begin int, offset_end int, "
-    f"line_begin int, line_end int, cursor int, checksum long, procerrors int, spans array<{SPAN}>"
+    f"line_begin int, line_end int, cursor int, checksum long, procerrors int, children array<int>, inside long, spans array<{SPAN}>"
 )
 
 

@@ -3,6 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+from loomscan.operators import metrics as M
+from loomscan.operators.spans import tokenize
 from loomscan.plans import generated as G
 from loomscan.workers import tasks_for
 
@@ -40,3 +42,19 @@ def plan_of(df):
 
 def test_files_are_not_broadcast(spark, parts):
     assert "BroadcastHashJoin" not in plan_of(G.code_line_numbers(spark, parts(100)))
+
+
+def test_metrics_need_no_shuffle(spark):
+    files = spark.createDataFrame([("./a.cpp", "cpp", "class A { class B {}; int f() { return 1; } };\n")], "path string, lang string, text string")
+    for df in M.measure(tokenize(files), M.builtin()):
+        assert "Exchange" not in plan_of(df) and "Join" not in plan_of(df)
+
+
+def test_children_are_those_of_the_aggregation(spark):
+    texts = ["namespace n { class A { int f() {} struct S {}; }; int g() {} }\nint h() {}\n", "class A { int f() {", "} } class B { void k() { } }", ""]
+    files = spark.createDataFrame([(f"./{k}{lang}", lang, t) for k, t in enumerate(texts) for lang in ("cpp", "cs", "java")], "path string, lang string, text string")
+    regions = M.measure(tokenize(files), M.builtin())[0]
+    names = [f.column for f in M.CHILD_FIELDS]
+    wanted = {(r["path"], r["parent_id"]): tuple(r[n] for n in names) + (r["_inside"],) for r in M.child_metrics(regions).collect()}
+    got = {(r["path"], r["region_id"]): tuple(r[n] for n in names) + (r["offset_end"] - r["offset_begin"] - r[M.LENGTH.column],) for r in regions.collect()}
+    assert wanted and {k: wanted.get(k, (None,) * len(names) + (0,)) for k in got} == got
