@@ -43,7 +43,7 @@ def query(sql: str | None = None, base: bool = True):
 
 
 def _count(text, pattern: str):
-    return F.regexp_count(text, F.lit(M.FLAGS + pattern)).cast("long")
+    return F.regexp_count(text, F.lit(M.java(pattern))).cast("long")
 
 
 def files_of(spark: SparkSession, sf_dir: str, prev: bool = False) -> DataFrame:

@@ -58,3 +58,10 @@ def test_children_are_those_of_the_aggregation(spark):
     wanted = {(r["path"], r["parent_id"]): tuple(r[n] for n in names) + (r["_inside"],) for r in M.child_metrics(regions).collect()}
     got = {(r["path"], r["region_id"]): tuple(r[n] for n in names) + (r["offset_end"] - r["offset_begin"] - r[M.LENGTH.column],) for r in regions.collect()}
     assert wanted and {k: wanted.get(k, (None,) * len(names) + (0,)) for k in got} == got
+
+
+def test_java_patterns_keep_their_meaning(spark):
+    text = spark.createDataFrame([(" if if(é for\u00e9 |_while xcase\tcase\u2028case\n9if if9 \U0001d4b3if\U0001d4b3",)], "t string")
+    for p in M._branches().values():
+        assert "A-Z" not in M.java(p)
+        assert text.select(F.regexp_count("t", F.lit(M.java(p))), F.regexp_count("t", F.lit(M.FLAGS + p))).first()[:] in [(n, n) for n in range(2, 12)]
