@@ -20,6 +20,7 @@ from ..operators.match import file_classes, match_regions
 from ..operators.spans import innermost, merge_spans, tokenize
 from ..operators.store import reuse
 from ..schema import Field, Snapshot
+from ..workers import tasks_for
 from .views import sides
 
 LENGTH, LINES, BRANCHES, NUMBERS = Field("std.code.length", "total"), Field("std.code.lines", "code"), Field("std.code.complexity", "cyclomatic"), Field("std.code.magic", "numbers", non_zero=True)
@@ -319,8 +320,17 @@ def file_status(spark, sf_dir):
     return file_classes(cur.files, prev.files)
 
 
-def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: Rows of lineitem that a task gets: it sorts and aggregates them several times at once, and a join makes some three of each.
+ROWS = 400_000
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem, dealt by order: what follows is within orders and shuffles no more. Spark would deal by bytes, which are few a row."""
     x = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return x.repartition(tasks_for(spark, x.count(), ROWS), "l_orderkey")
+
+
+def _spans(x: DataFrame) -> DataFrame:
     begin = 2 * F.col("l_linenumber")  # small quantities leave a gap
     kind = F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "N", 2).otherwise(4)
     return x.select("l_orderkey", begin.alias("begin"), (begin + F.when(F.col("l_quantity") > 10, 2).otherwise(1)).alias("end"), kind.alias("kind")).distinct()
@@ -334,16 +344,16 @@ f AS (SELECT *, CASE WHEN lag("end") OVER w = "begin" THEN 0 ELSE 1 END AS fresh
 i AS (SELECT *, sum(fresh) OVER (PARTITION BY l_orderkey ORDER BY "begin", "end" ROWS UNBOUNDED PRECEDING) AS island FROM f)
 SELECT l_orderkey, min("begin") AS "begin", max("end") AS "end", bit_or(kind) AS kind FROM i GROUP BY l_orderkey, island""", base=False)
 def span_merge(spark, sf_dir):
-    x = _spans(spark, sf_dir).groupBy("l_orderkey", "begin", "end").agg(F.bit_or("kind").alias("kind"))
+    x = _spans(_items(spark, sf_dir)).groupBy("l_orderkey", "begin", "end").agg(F.bit_or("kind").alias("kind"))
     return merge_spans(x, ["l_orderkey"])
 
 
 @query(_SPANS + """, r AS (SELECT DISTINCT l_orderkey, l_linenumber AS region_id, 2 * l_linenumber AS "begin", 2 * (9 - l_linenumber // 4) AS "end" FROM lineitem)
 SELECT s.l_orderkey, s."begin", s."end", s.kind, arg_max(r.region_id, (r."begin", r.region_id)) AS region_id FROM s JOIN r ON s.l_orderkey = r.l_orderkey AND r."begin" <= s."begin" AND s."begin" < r."end" GROUP BY ALL""", base=False)
 def span_innermost(spark, sf_dir):
-    x = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    x = _items(spark, sf_dir)
     regions = x.select("l_orderkey", F.col("l_linenumber").alias("region_id"), (2 * F.col("l_linenumber")).alias("begin"), (2 * (9 - F.floor(F.col("l_linenumber") / 4))).cast("int").alias("end")).distinct()
-    return innermost(_spans(spark, sf_dir), regions, ["l_orderkey"])
+    return innermost(_spans(x), regions, ["l_orderkey"])
 
 
 @query()

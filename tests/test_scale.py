@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 from loomscan.operators import metrics as M
 from loomscan.operators.spans import tokenize
 from loomscan.plans import generated as G
+from loomscan.plans import queries as Q
 from loomscan.workers import tasks_for
 
+from helpers import SMALL
+
 
 @pytest.fixture(scope="module")
 def parts(spark, tmp_path_factory):
@@ -65,3 +68,11 @@ def test_java_patterns_keep_their_meaning(spark):
     for p in M._branches().values():
         assert "A-Z" not in M.java(p)
         assert text.select(F.regexp_count("t", F.lit(M.java(p))), F.regexp_count("t", F.lit(M.FLAGS + p))).first()[:] in [(n, n) for n in range(2, 12)]
+
+
+def test_spans_of_orders_are_dealt_once(spark, monkeypatch):
+    monkeypatch.setattr(Q, "ROWS", 500)
+    assert largest_task(Q._items(spark, SMALL)) <= 900  # of 6,000
+    for name, shuffles in (("span_innermost", 2), ("span_merge", 1)):  # one a table
+        assert plan_of(Q.QUERIES[name](spark, SMALL)).count("Exchange hashpartitioning(l_orderkey") <= shuffles
+        assert "Exchange hashpartitioning" not in plan_of(Q.QUERIES[name](spark, SMALL)).replace("Exchange hashpartitioning(l_orderkey", "")
