@@ -71,8 +71,8 @@ def warnings(cur: Snapshot, limit: Limit, prev: Snapshot | None = None, mode: st
         rows = rows.filter(F.col("group_id").bitwiseAND(limit.types) != 0)
     if suppressions and cur.suppress is not None:
         own = F.col("region_id").isNotNull() if f.regions else F.col("region_id").isNull()
-        muted = cur.suppress.filter(own & F.array_contains("metrics", limit.metric)).select("path", "region_id").distinct()
-        rows = rows.join(muted, ["path", "region_id"] if f.regions else ["path"], "left_anti")
+        muted = cur.suppress.filter(own & F.array_contains("metrics", limit.metric)).select("path", "region_id")
+        rows = rows.join(muted.hint("merge"), ["path", "region_id"] if f.regions else ["path"], "left_anti")  # no broadcast: there is no bound to them
     if hotspots and mode != "all":
         rows = rows.orderBy(*order).limit(hotspots)
     kind = type_names(F.col("group_id")) if f.regions else F.lit(None).cast("string")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import SPAN_KINDS, Field
@@ -18,8 +18,8 @@ def suppressions(tokens: DataFrame, fields: list[Field], mark: str = MARK) -> tu
     mark is the text before "suppress"; sources that were annotated for another tool name that tool's here. Only the first block of comments of a region counts: comments with nothing but white space between. suppressed has
     path, region_id (null: the file's), count, metrics in order of appearance. Metrics of files may be suppressed in
     the outermost region only. rejected has path, region_id, metric, reason: unknown, misplaced or duplicate.
+    A region's row has all that is said in it, so nothing is shuffled or joined.
     """
-    spark = tokens.sparkSession
     comments = F.filter("spans", lambda s: s["kind"] == SPAN_KINDS["comment"])
     # texts of the spans between comments: a comment block ends where one isn't blank
     zero = F.struct(F.lit("").alias("text"), F.lit(0).alias("state"))  # 0 before the block, 1 inside, 2 behind
@@ -33,14 +33,18 @@ def suppressions(tokens: DataFrame, fields: list[Field], mark: str = MARK) -> tu
 
     head = F.when(F.size(comments) > 0, F.aggregate("spans", zero, step)["text"]).otherwise("")
     found = F.regexp_extract_all(head, F.lit(re.escape(mark) + r"[ \t]+suppress[ \t]+([^ \t\r\n*]+)"), F.lit(1))
-    rows = tokens.filter("region_id is not null").select("path", "region_id", F.posexplode(found).alias("at", "metric"))
-    known = spark.createDataFrame([(f.column, f.regions) for f in fields], "metric string, of_regions boolean")
-    rows = rows.join(F.broadcast(known), "metric", "left")  # a row a declared metric
-    rows = rows.withColumn("scope", F.when(F.col("of_regions"), F.col("region_id")))
-    first = rows.filter("of_regions or region_id = 1").groupBy("path", "region_id", "metric").agg(F.min("at").alias("first"))
-    rows = rows.join(first, ["path", "region_id", "metric"], "left")
-    reason = F.when(F.col("of_regions").isNull(), "unknown").when(~F.col("of_regions") & (F.col("region_id") != 1), "misplaced").when(F.col("at") != F.col("first"), "duplicate")
-    rows = rows.withColumn("reason", reason)
-    good = rows.filter("reason is null").groupBy("path", "scope").agg(F.sort_array(F.collect_list(F.struct("at", "metric"))).alias("x"))
-    good = good.select("path", F.col("scope").alias("region_id"), F.size("x").cast("long").alias("count"), F.transform("x", lambda m: m["metric"]).alias("metrics"))
-    return good, rows.filter("reason is not null").select("path", "region_id", "metric", "reason")
+    rows = tokens.filter("region_id is not null").select("path", "region_id", found.alias("found"))
+    of_regions, of_files = ([f.column for f in fields if f.regions == r] for r in (True, False))
+    first = F.col("region_id") == 1
+
+    def named(metrics: list[str]) -> Column:
+        return F.filter(F.array_distinct("found"), lambda m: m.isin(metrics))
+
+    own = F.struct("region_id", named(of_regions).alias("metrics"))
+    whole = F.struct(F.lit(None).cast("int").alias("region_id"), F.when(first, named(of_files)).otherwise(F.array().cast("array<string>")).alias("metrics"))
+    good = rows.select("path", F.explode(F.filter(F.array(own, whole), lambda x: F.size(x["metrics"]) > 0)).alias("x"))
+    good = good.select("path", "x.region_id", F.size("x.metrics").cast("long").alias("count"), "x.metrics")
+    bad = rows.select("path", "region_id", "found", F.posexplode("found").alias("at", "metric"))
+    known = F.col("metric").isin(of_regions)
+    reason = F.when(~known & ~F.col("metric").isin(of_files), "unknown").when(~known & ~first, "misplaced").when(F.array_position("found", F.col("metric")) != F.col("at") + 1, "duplicate")
+    return good, bad.withColumn("reason", reason).filter("reason is not null").select("path", "region_id", "metric", "reason")

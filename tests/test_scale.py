@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomscan.operators import metrics as M
+from loomscan.operators import suppress as S
+from loomscan.operators.limit import Limit, warnings
 from loomscan.operators.spans import tokenize
 from loomscan.plans import generated as G
 from loomscan.plans import queries as Q
@@ -76,3 +78,19 @@ def test_spans_of_orders_are_dealt_once(spark, monkeypatch):
     for name, shuffles in (("span_innermost", 2), ("span_merge", 1)):  # one a table
         assert plan_of(Q.QUERIES[name](spark, SMALL)).count("Exchange hashpartitioning(l_orderkey") <= shuffles
         assert "Exchange hashpartitioning" not in plan_of(Q.QUERIES[name](spark, SMALL)).replace("Exchange hashpartitioning(l_orderkey", "")
+
+
+def test_suppressions_need_no_shuffle_and_limits_no_broadcast(spark, parts):
+    s = G.collected(spark, parts(100))
+    tokens = tokenize(spark.createDataFrame([("./a.cpp", "cpp", "int a;\n")], "path string, lang string, text string"))
+    assert not any(x in plan_of(df) for df in S.suppressions(tokens, s.fields) for x in ("Exchange", "Join"))
+    assert "BroadcastHashJoin" not in plan_of(warnings(s, Limit("std.code.complexity:cyclomatic", 3.0)))
+
+
+def test_suppressions_said_twice_in_any_order(spark):
+    size, cyclomatic = "std.general:size", "std.code.complexity:cyclomatic"
+    text = "".join(f"// loomscan: suppress {m}\n" for m in (cyclomatic, size, "no:such", cyclomatic, size, "std.code.lines:code")) + "int a;\n"
+    tokens = tokenize(spark.createDataFrame([("./a.cpp", "cpp", text)], "path string, lang string, text string"))
+    good, bad = S.suppressions(tokens, M.fields_of(M.builtin()))
+    assert {tuple(map(str, r)) for r in good.collect()} == {("./a.cpp", "1", "2", str([cyclomatic, "std.code.lines:code"])), ("./a.cpp", "None", "1", str([size]))}
+    assert sorted((r["metric"], r["reason"]) for r in bad.collect()) == [("no:such", "unknown"), (cyclomatic, "duplicate"), (size, "duplicate")]
