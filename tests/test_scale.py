@@ -94,3 +94,10 @@ def test_suppressions_said_twice_in_any_order(spark):
     good, bad = S.suppressions(tokens, M.fields_of(M.builtin()))
     assert {tuple(map(str, r)) for r in good.collect()} == {("./a.cpp", "1", "2", str([cyclomatic, "std.code.lines:code"])), ("./a.cpp", "None", "1", str([size]))}
     assert sorted((r["metric"], r["reason"]) for r in bad.collect()) == [("no:such", "unknown"), (cyclomatic, "duplicate"), (size, "duplicate")]
+
+
+@pytest.mark.parametrize("name", [q for q in G.QUERIES if q.startswith("code_")])
+def test_every_query_over_generated_files_deals_them(spark, parts, monkeypatch, name):
+    monkeypatch.setattr(G, "FILES", 10)
+    assert "RoundRobinPartitioning(20)" in plan_of(G.QUERIES[name](spark, parts(200)))
+    spark.catalog.clearCache()
